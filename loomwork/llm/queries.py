@@ -29,7 +29,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_byte_bpe, op9_packing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), 100)
+
+
+QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_byte_bpe, op9_packing, op10_suffix_dedup)}
 
 SQL = {
     "op5_exact_dedup": """
