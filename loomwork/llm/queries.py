@@ -35,7 +35,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), 100)
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_byte_bpe, op9_packing, op10_suffix_dedup)}
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"), width=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_exact_dedup, op7_byte_bpe, op9_packing, op10_suffix_dedup)}
 
 SQL = {
     "op5_exact_dedup": """
