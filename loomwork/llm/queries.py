@@ -41,7 +41,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_exact_dedup, op7_byte_bpe, op9_packing, op10_suffix_dedup)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_exact_dedup, op7_byte_bpe, op8_toxicity, op9_packing, op10_suffix_dedup)}
 
 SQL = {
     "op5_exact_dedup": """
