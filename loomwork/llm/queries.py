@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_digests, read_archives, write_archives
+
+    return page_digests(read_archives(write_archives(table(spark, sf_dir, "pages"))))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -48,7 +60,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_exact_dedup, op7_byte_bpe, op8_toxicity, op9_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_hilbert_neighbours, op4_warc, op5_exact_dedup, op7_byte_bpe, op8_toxicity, op9_packing, op10_suffix_dedup)}
 
 SQL = {
     "op5_exact_dedup": """
