@@ -1,11 +1,34 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table.
+
+Up to LOCAL edges are united in one task (a bounded table); more by alternating large-star and small-star
+steps over the whole cluster.  Both give every vertex the smallest id that it reaches.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import batched, materialize, rows_of, ship
+
+#: Edges that one task unites at most.
+LOCAL = 200_000
+
+
+def _unite(batches):
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for u, v in rows_of(batches):
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    yield from batched(((x, find(x)) for x in list(root)), pa.schema([("id", pa.int64()), ("component", pa.int64())]))
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -23,9 +46,12 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return materialize(out.where("u <> v").distinct(), "edges")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", local: int = LOCAL) -> DataFrame:
     """(id, component): every vertex that has an edge, with the smallest id that it reaches."""
     now = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    if now.count() <= local:
+        ship(now.sparkSession)
+        return now.repartition(1).mapInArrow(_unite, "id long, component long")
     before = None
     while True:
         now = _star(_star(now, False), True)

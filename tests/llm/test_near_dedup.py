@@ -76,8 +76,9 @@ def test_repeated_rows_and_empty(spark):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(10, 40)] + [(100, k) for k in range(101, 180)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{k: 10 for k in range(10, 41)}, **{k: 100 for k in range(100, 180)}}
+    for local in (0, 1000):
+        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), local=local).collect()}
+        assert got == {**{k: 10 for k in range(10, 41)}, **{k: 100 for k in range(100, 180)}}
 
 
 def test_documents(spark, sf001):
