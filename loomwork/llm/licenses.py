@@ -64,9 +64,18 @@ def shingles(text: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def under(band: int):
+    """The hash function of a band, for transform(): it must have one parameter, or it gets the position as well."""
+    return lambda x: F.xxhash64(x, F.lit(band))
+
+
+def placed(band: int):
+    return lambda x: F.struct(F.xxhash64(x, F.lit(band)).alias("v"), x.alias("h"))
+
+
 def signature(hashes: Column) -> Column:
     """The least value under each of the BANDS hash functions, marked with its band."""
-    return F.array(*(F.xxhash64(F.array_min(F.transform(hashes, lambda x, b=b: F.xxhash64(x, F.lit(b)))), F.lit(b)) for b in range(BANDS)))
+    return F.array(*(F.xxhash64(F.array_min(F.transform(hashes, under(b))), F.lit(b)) for b in range(BANDS)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,7 +87,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, num: int = 4, d
     known = known.where("size(h) > 0").withColumn("class", F.expr("cast(power(2, ceil(log2(size(h)))) as int)"))
     rows = known.select(
         "license", "class", F.array_distinct("h").alias("template"), signature(F.col("h")).alias("bands"),
-        F.array(*(F.array_min(F.transform("h", lambda x, b=b: F.struct(F.xxhash64(x, F.lit(b)).alias("v"), x.alias("h"))))["h"] for b in range(BANDS))).alias("least"),
+        F.array(*(F.array_min(F.transform("h", placed(b)))["h"] for b in range(BANDS))).alias("least"),
     ).collect()  # as many rows as templates
     if not rows:
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0).alias("n_found"), F.lit(0).alias("n_template")).where("false")

@@ -6,7 +6,7 @@ One hash function orders the shingles of a document; its sketch is the k smalles
 2. Inverted lists: neighbouring pairs of the first retained values are the keys (a single value of a
    passage that many documents share would tie all of them together; a pair of neighbours does so
    only where the documents agree around it).  For a similarity of 0.8 the chance that two sketches
-   of 32 have no such pair in common is about 1e-9.
+   of 20 have no such pair in common is about 2e-6.
 3. Lists of up to SMALL documents generate the pairs in them with their overlap, the number of
    lists in common.  From longer lists every document is paired with the PIVOTS most central ones.
 4. The union sketch (the k smallest of both) estimates the similarity and drops clear misses.
@@ -39,7 +39,7 @@ from .components import components
 from .rolling import mix
 from .shingles import overlap, shingle_sets
 
-SKETCH, INDEXED = 64, 32
+SKETCH, INDEXED = 64, 20
 SMALL, PIVOTS, BLOCK = 64, 8, 768
 
 
