@@ -55,13 +55,16 @@ def words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once: inside a lambda an expression is computed for every element, a variable isn't."""
+    return F.transform(F.array(value), then)[0]
+
+
 def shingles(text: Column) -> Column:
     """Hashes of the shingles in order; empty for fewer than WIDTH words."""
-    w = words(text)
-    return F.when(
-        F.size(w) >= WIDTH,
-        F.zip_with(F.slice(w, 1, F.size(w) - (WIDTH - 1)), F.sequence(F.lit(0), F.size(w) - WIDTH), lambda _, k: F.xxhash64(*(F.get(w, k + j) for j in range(WIDTH)))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    empty = F.array().cast("array<bigint>")
+    hashed = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda k: F.xxhash64(*(F.get(w, k + j) for j in range(WIDTH))))
+    return F.coalesce(let(words(text), lambda w: F.when(F.size(w) >= WIDTH, hashed(w)).otherwise(empty)), empty)
 
 
 def under(band: int):
@@ -93,13 +96,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, num: int = 4, d
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0).alias("n_found"), F.lit(0).alias("n_template")).where("false")
     least = sorted({h for r in rows for h in r["least"]})
     table = spark.createDataFrame([(r["license"], r["class"], r["template"], b) for r in rows for b in r["bands"]], "license string, class int, template array<bigint>, band long")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingles(F.col(text_col).cast("string")).alias("h"))
+    # explode() of one element keeps the optimizer from computing the shingles once for the filter and once for the result
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(shingles(F.col(text_col).cast("string")))).alias("h"))
     own = own.where(F.arrays_overlap("h", F.array(*map(F.lit, least))))
     classes = F.explode(F.array(*(F.lit(c) for c in sorted({r["class"] for r in rows}))))
     starts = F.explode(F.sequence(F.lit(1), F.size("h"), F.greatest(F.col("class").bitwiseAND(F.lit(~3)) / 4, F.lit(1)).cast("int")))
     window = own.select("doc_id", "h", classes.alias("class")).select("doc_id", "h", "class", starts.alias("start"))
     window = window.withColumn("w", F.slice("h", F.col("start"), F.col("class"))).where(F.arrays_overlap("w", F.array(*map(F.lit, least))))
-    bands = window.select("doc_id", "h", "class", F.explode(signature(F.col("w"))).alias("band"))
+    bands = window.select("doc_id", "h", "class", F.explode(let(F.col("w"), signature)).alias("band"))
     found = bands.join(F.broadcast(table), ["class", "band"]).select("doc_id", "license", F.size(F.array_intersect("template", "h")).alias("n_found"), F.size("template").alias("n_template"))
     found = found.where(F.col("n_found") * den >= F.col("n_template") * num)
     return found.groupBy("doc_id", "license").agg(F.max("n_found").alias("n_found"), F.max("n_template").alias("n_template"))
