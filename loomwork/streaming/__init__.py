@@ -1 +1,20 @@
+"""Event-time aggregates that run alike over a table and over a stream."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed(events: DataFrame, time: str, size: str, aggregates: list[Column], keys: list[str] = (), slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Tumbling or sliding windows; on a stream rows later than ``late`` are dropped."""
+    timed = events.withWatermark(time, late) if events.isStreaming else events
+    out = timed.groupBy(F.window(time, size, slide or size), *keys).agg(*aggregates)
+    return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, *(c for c in out.columns if c not in ("window", *keys)))
+
+
+def sessions(events: DataFrame, time: str, gap: str, aggregates: list[Column], keys: list[str], late: str = "10 minutes") -> DataFrame:
+    """Windows that end when a key is silent for the gap."""
+    timed = events.withWatermark(time, late) if events.isStreaming else events
+    out = timed.groupBy(F.session_window(time, gap), *keys).agg(*aggregates)
+    return out.select(F.col("session_window.start").alias("window_start"), F.col("session_window.end").alias("window_end"), *keys, *(c for c in out.columns if c not in ("session_window", *keys)))
