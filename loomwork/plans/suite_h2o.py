@@ -38,11 +38,11 @@ for name, expr in {
     "partition_order": f"first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY {ORDER})",
     "lag_by_frame": f"first_value(o_orderkey) OVER (ORDER BY {ORDER} ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING)",
     "lead_by_frame": f"first_value(o_orderkey) OVER (ORDER BY {ORDER} ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)",
-    "moving_average": f"round(avg(o_totalprice) OVER (ORDER BY {ORDER} ROWS BETWEEN 100 PRECEDING AND CURRENT ROW), 2)",
+    "moving_average": f"round(avg(o_totalprice) OVER (ORDER BY {ORDER} ROWS BETWEEN 100 PRECEDING AND CURRENT ROW), 7)",
     "rolling_sum": f"round(sum(o_totalprice) OVER (ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2)",
     "range_between": "count(*) OVER (ORDER BY o_custkey RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)",
     "lag_in_partition": f"first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY {ORDER} ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING)",
-    "moving_in_partition": f"round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY {ORDER} ROWS BETWEEN 100 PRECEDING AND CURRENT ROW), 2)",
+    "moving_in_partition": f"round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY {ORDER} ROWS BETWEEN 100 PRECEDING AND CURRENT ROW), 7)",
     "rolling_in_partition": f"round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2)",
     "range_in_partition": "count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)",
 }.items():

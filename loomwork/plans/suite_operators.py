@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -344,8 +345,6 @@ sql_query("fn_integer_division", "SELECT l_orderkey, l_linenumber, div_trunc(l_o
 
 @frame_query("SELECT l_orderkey, l_linenumber, l_quantity * 2 + 1 AS y FROM lineitem")
 def udf_scalar(spark, t):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def twice(x: pd.Series) -> pd.Series:
         return x * 2 + 1
@@ -355,8 +354,6 @@ def udf_scalar(spark, t):
 
 @frame_query("SELECT o_orderstatus, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_orderstatus")
 def udf_aggregate(spark, t):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def spread(x: pd.Series) -> float:
         return float(x.max() - x.min())
