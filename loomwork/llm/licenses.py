@@ -112,16 +112,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, num: int = 4, d
 def sql(templates: dict[str, str] = TEMPLATES, num: int = 4, den: int = 5) -> str:
     """The same by comparing every text with every template (for DuckDB over the view documents)."""
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
-
-    def shingled(text: str) -> str:
-        w = f"string_split(trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g')), ' ')"
-        return f"list_distinct([array_to_string({w}[k : k + {WIDTH - 1}], ' ') for k in range(1, len({w}) - {WIDTH - 2})])"
-
+    split = "string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')".format
+    shingled = f"unnest(list_distinct([array_to_string(w[k : k + {WIDTH - 1}], ' ') for k in range(1, len(w) - {WIDTH - 2})]))"
     return f"""
         WITH t(license, body) AS (VALUES {values}),
-        known AS (SELECT license, unnest({shingled('body')}) AS s FROM t),
+        tw AS MATERIALIZED (SELECT license, {split('body')} AS w FROM t),
+        dw AS MATERIALIZED (SELECT DISTINCT doc_id, {split('text')} AS w FROM documents),
+        known AS MATERIALIZED (SELECT license, {shingled} AS s FROM tw),
         size AS (SELECT license, count(*) AS n_template FROM known GROUP BY license),
-        own AS (SELECT DISTINCT doc_id, unnest({shingled('text')}) AS s FROM documents)
+        own AS (SELECT doc_id, {shingled} AS s FROM dw)
         SELECT doc_id, license, CAST(count(*) AS INTEGER) AS n_found, CAST(any_value(n_template) AS INTEGER) AS n_template
         FROM own JOIN known USING (s) JOIN size USING (license)
         GROUP BY doc_id, license HAVING count(*) * {den} >= any_value(n_template) * {num}
