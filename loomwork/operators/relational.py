@@ -27,7 +27,7 @@ def join(left: DataFrame, right: DataFrame, on, how: str = "inner", strategy: st
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def mark_join(left: DataFrame, right: DataFrame, on: list[str] | str, mark: str = "mark") -> DataFrame:
