@@ -103,8 +103,11 @@ class ByteBPE:
         data = [p.encode() for p in pre_tokens]
         out = [None if (r := self.ranks.get(d)) is None else struct.pack("<I", r) for d in data]
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(rest, self.model.encode([mapped(data[k]) for k in rest], num_threads=1)):
-            out[k] = np.array(ids, "<u4").tobytes()
+        pieces = [mapped(data[k]) for k in rest]
+        # a call with a list starts a thread pool, which only pays for long lists
+        found = self.model.encode(pieces, num_threads=1) if len(pieces) > 200 else map(self.model.encode, pieces)
+        for k, ids in zip(rest, found):
+            out[k] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
