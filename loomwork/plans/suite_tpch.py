@@ -12,7 +12,7 @@ REVENUE = "l_extendedprice * (1 - l_discount)"
 
 sql_query("tpch_q1", f"""
     SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-           round(sum({REVENUE}), 2) AS sum_disc_price, round(sum({REVENUE} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty,
+           round(sum({REVENUE}), 4) AS sum_disc_price, round(sum({REVENUE} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty,
            round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'
     GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""")
@@ -28,7 +28,7 @@ sql_query("tpch_q2", """
     ORDER BY s_acctbal DESC NULLS LAST, n_name, s_name, p_partkey LIMIT 100""")
 
 sql_query("tpch_q3", f"""
-    SELECT l_orderkey, round(sum({REVENUE}), 2) AS revenue, o_orderdate
+    SELECT l_orderkey, round(sum({REVENUE}), 4) AS revenue, o_orderdate
     FROM customer, orders, lineitem
     WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
       AND o_orderdate < TIMESTAMP '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00'
@@ -41,7 +41,7 @@ sql_query("tpch_q4", """
     GROUP BY o_orderpriority ORDER BY o_orderpriority""")
 
 sql_query("tpch_q5", f"""
-    SELECT n_name, round(sum({REVENUE}), 2) AS revenue
+    SELECT n_name, round(sum({REVENUE}), 4) AS revenue
     FROM customer, orders, lineitem, supplier, nation, region
     WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey
       AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA'
@@ -54,7 +54,7 @@ sql_query("tpch_q6", """
       AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
 
 sql_query("tpch_q7", f"""
-    SELECT supp_nation, cust_nation, l_year, round(sum(volume), 2) AS revenue FROM (
+    SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue FROM (
       SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(YEAR FROM l_shipdate) AS INT) AS l_year, {REVENUE} AS volume
       FROM supplier, lineitem, orders, customer, nation n1, nation n2
       WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey
@@ -71,14 +71,14 @@ sql_query("tpch_q8", f"""
     GROUP BY o_year ORDER BY o_year""")
 
 sql_query("tpch_q9", f"""
-    SELECT nation_name, o_year, round(sum(amount), 2) AS sum_profit FROM (
+    SELECT nation_name, o_year, round(sum(amount), 4) AS sum_profit FROM (
       SELECT n_name AS nation_name, CAST(extract(YEAR FROM o_orderdate) AS INT) AS o_year, {REVENUE} - 0.1 * p_retailprice * l_quantity AS amount
       FROM part, supplier, lineitem, orders, nation
       WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%a%') AS profit
     GROUP BY nation_name, o_year ORDER BY nation_name, o_year DESC NULLS LAST""")
 
 sql_query("tpch_q10", f"""
-    SELECT c_custkey, c_name, round(sum({REVENUE}), 2) AS revenue, c_acctbal, n_name
+    SELECT c_custkey, c_name, round(sum({REVENUE}), 4) AS revenue, c_acctbal, n_name
     FROM customer, orders, lineitem, nation
     WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP '1993-10-01 00:00:00'
       AND o_orderdate < TIMESTAMP '1994-01-01 00:00:00' AND l_returnflag = 'R' AND c_nationkey = n_nationkey
@@ -111,7 +111,7 @@ sql_query("tpch_q14", f"""
 
 sql_query("tpch_q15", f"""
     WITH revenue0 (supplier_no, total_revenue) AS (
-      SELECT l_suppkey, round(sum({REVENUE}), 2) FROM lineitem
+      SELECT l_suppkey, round(sum({REVENUE}), 4) FROM lineitem
       WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-04-01 00:00:00' GROUP BY l_suppkey)
     SELECT s_suppkey, s_name, total_revenue FROM supplier, revenue0
     WHERE s_suppkey = supplier_no AND total_revenue = (SELECT max(total_revenue) FROM revenue0) ORDER BY s_suppkey""")
@@ -133,7 +133,7 @@ sql_query("tpch_q18", """
     GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC NULLS LAST, o_orderdate, o_orderkey LIMIT 100""")
 
 sql_query("tpch_q19", f"""
-    SELECT round(sum({REVENUE}), 2) AS revenue FROM lineitem, part
+    SELECT round(sum({REVENUE}), 4) AS revenue FROM lineitem, part
     WHERE (p_partkey = l_partkey AND p_size BETWEEN 1 AND 5 AND l_quantity >= 1 AND l_quantity <= 11)
        OR (p_partkey = l_partkey AND p_size BETWEEN 6 AND 10 AND l_quantity >= 10 AND l_quantity <= 20)
        OR (p_partkey = l_partkey AND p_size BETWEEN 11 AND 15 AND l_quantity >= 20 AND l_quantity <= 30)""")
