@@ -40,7 +40,7 @@ from .rolling import mix
 from .shingles import overlap, shingle_sets
 
 SKETCH, INDEXED = 64, 32
-SMALL, PIVOTS, BLOCK = 64, 8, 768
+SMALL, PIVOTS, BLOCK = 64, 8, 3072
 
 
 def bottom(own: np.ndarray, k: int = SKETCH) -> np.ndarray:
