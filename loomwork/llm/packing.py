@@ -64,7 +64,7 @@ class WordTokenizer:
         tokenize = self.model.tokenize
         out = []
         for p in parts:
-            ids = [t.id for t in tokenize(p if p.isascii() else mapped(p.encode()))]
+            ids = [t.id for t in tokenize(p if p.isascii() and "\x7f" not in p else mapped(p.encode()))]
             out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from loomwork.llm.byte_bpe import ByteBPE, encode_documents
 from loomwork.llm.packing import WordTokenizer, pack_documents, plan, slots
 
-ODD = ["", " ", "\n\n a\t b  \r\n", "it's we'll I'M 12345 ½ ٣", "naïve façadé é ΑΣ İstanbul ǅ", "日本語テキスト 漢字", "🙂👩‍👩‍👧 ​ x　y\x85z\xa0w", "\x1c\x1da\x1f b\x00c", "<|endoftext|> a<|startoftext|>b", "a" * 5000, "ab" * 3000 + " " * 500 + "é" * 900, "x.y,z;" * 400, "́ ́a"]
+ODD = ["", "\x7f", "a\x7fb", " ", "\n\n a\t b  \r\n", "it's we'll I'M 12345 ½ ٣", "naïve façadé é ΑΣ İstanbul ǅ", "日本語テキスト 漢字", "🙂👩‍👩‍👧 ​ x　y\x85z\xa0w", "\x1c\x1da\x1f b\x00c", "<|endoftext|> a<|startoftext|>b", "a" * 5000, "ab" * 3000 + " " * 500 + "é" * 900, "x.y,z;" * 400, "́ ́a"]
 
 
 @pytest.fixture(scope="module")
