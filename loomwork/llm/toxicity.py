@@ -10,9 +10,10 @@ each toxic document the sentences that score highest, found anew in every round,
 is a logistic function of its three highest sentence values, fitted on the training documents.
 
 Training takes at most TRAIN_DOCS labelled documents of each class, chosen by a hash of their id, and
-runs in one task; scoring covers every document and whole texts.  Null and empty texts get the score
+runs in one task; the logistic function weights them by the inverse of their class's share in the sample, so that
+scores follow the class mix of all usable labels at every size.  Scoring covers every document and whole texts.  Null and empty texts get the score
 of a text in which no word is near a landmark; without both labels in the training rows every score
-is the share of toxic ones; repeated rows are scored alike, and a null doc_id counts as held out
+is the share of toxic ones (weighted likewise); repeated rows are scored alike, and a null doc_id counts as held out
 if the remainder is 0 for an empty text; an empty table gives no rows.
 """
 
@@ -199,23 +200,26 @@ def train_svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, reg: float = 1e-4)
     return mean_w / max(seen, 1), mean_b / max(seen, 1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method; the last weight is the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's method on weighted rows; the last weight is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
     return w
 
 
 class ToxicityModel:
-    def __init__(self, texts: list[str], toxic: list[int]):
+    def __init__(self, texts: list[str], toxic: list[int], stands_for: tuple[float, float] = (1.0, 1.0)):
+        """stands_for: how many usable labels a clean and a toxic training document stand for."""
         order = sorted(range(len(texts)), key=lambda k: (toxic[k], texts[k]))
         texts, toxic = [texts[k] for k in order], [toxic[k] for k in order]
         y = np.array(toxic)
-        self.base = float(y.mean()) if len(y) else 0.0
+        weight = np.where(y > 0, stands_for[1], stands_for[0]).astype(float)
+        weight /= weight.mean() if len(y) else 1.0
+        self.base = float((weight * y).mean()) if len(y) else 0.0
         words, count = choose_landmarks(texts, toxic) if len(set(toxic)) == 2 else ([], 0)
         self.landmarks = None
         if not words:
@@ -238,7 +242,7 @@ class ToxicityModel:
             w, b = train_svm(np.concatenate([positive, clean]), np.concatenate([np.ones(len(positive)), -np.ones(len(clean))]))
         self.weights, self.bias = nystroem @ w, b
         self.link = np.zeros(4)
-        self.link = logistic(np.stack([self._top(r) for r in rows]), y)
+        self.link = logistic(np.stack([self._top(r) for r in rows]), y, weight)
 
     def _top(self, rows: np.ndarray) -> np.ndarray:
         """The three highest sentence values; sentences without a word near a landmark have the value of the bias."""
@@ -260,12 +264,15 @@ class ToxicityModel:
         self.landmarks = Landmarks(words) if words else None
 
 
-def _train(batches):
-    texts, toxic = [], []
-    for text, label in rows_of(batches):
-        texts.append(text or "")
-        toxic.append(int(label))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(ToxicityModel(texts, toxic))])], names=["model"])
+def _train(stands_for: tuple[float, float]):
+    def run(batches):
+        texts, toxic = [], []
+        for text, label in rows_of(batches):
+            texts.append(text or "")
+            toxic.append(int(label))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(ToxicityModel(texts, toxic, stands_for))])], names=["model"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> bytes:
@@ -273,10 +280,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> bytes:
     ship(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     usable = usable.where(f"{REMAINDER} <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable_of = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    stands_for = tuple(max(usable_of.get(t, 0) / most, 1.0) for t in (0, 1))
     chosen = [usable.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for t in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * most rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("text", "toxic")
-    found = rows.repartition(1).mapInArrow(_train, "model binary").collect()
+    found = rows.repartition(1).mapInArrow(_train(stands_for), "model binary").collect()
     return bytes(found[0]["model"]) if found else pickle.dumps(ToxicityModel([], []))
 
 

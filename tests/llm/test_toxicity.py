@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomwork.llm.toxicity import DECAY, FLOOR, SPAN, Landmarks, fit, score_documents
+from loomwork.llm.toxicity import DECAY, FLOOR, SPAN, Landmarks, fit, logistic, score_documents
 
 
 def plain_kernel(a, b):
@@ -54,3 +54,27 @@ def test_documents(spark):
     alone = fit(docs, labels.where("toxic = 0"))
     assert {r["score"] for r in score_documents(odd, alone).collect()} == {0.0}
     assert {r["score"] for r in score_documents(odd, fit(docs.limit(0), labels)).collect()} == {0.0}
+
+
+def test_weights_stand_for_rows():
+    rnd = np.random.default_rng(0)
+    x = rnd.normal(size=(200, 3))
+    y = (x[:, 0] + rnd.normal(size=200) > 1).astype(float)
+    times = np.where(y > 0, 1, 7)
+    many = logistic(np.repeat(x, times, axis=0), np.repeat(y, times), np.ones(times.sum()))
+    assert logistic(x, y, times) == pytest.approx(many, abs=1e-6)
+
+
+def test_class_mix_does_not_follow_the_sample_size(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    known = docs.join(labels.select("doc_id", "toxic"), "doc_id").cache()
+    truth = {r["doc_id"]: r["toxic"] for r in known.select("doc_id", "toxic").collect()}
+    share = np.mean(list(truth.values()))
+    found = {}
+    for most in (300, 100_000):  # as many clean as toxic documents; all of them
+        rows = score_documents(known, fit(docs, labels, most)).collect()
+        found[most] = {r["doc_id"]: r["predicted"] for r in rows}
+        assert abs(np.mean([r["score"] for r in rows]) - share) < 0.02
+        assert abs(np.mean([r["predicted"] for r in rows]) - share) < 0.05
+    assert np.mean([found[300][k] == found[100_000][k] for k in truth]) > 0.93
