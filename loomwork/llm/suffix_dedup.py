@@ -8,8 +8,8 @@ anchor, its k-byte stretch of least hash (the leftmost of equals), and consecuti
 same anchor form a segment, so a document of n bytes has about 2n/(length-k+2) segments.
 
 1. Each input partition cuts its documents into segments.  Of segments with the same content it sends
-   on the earliest only; the others are repeats for certain.  What travels is the anchor's hash, the
-   segment's hash and its place.
+   on the earliest only; the others are repeats.  What travels is the anchor's hash, the
+   segment's whole 64-bit hash and its place.  Content is equal when both hashes are; bytes aren't compared.
 2. By anchor: one that occurs once holds no repeat.  Of segments with the same content all but the
    earliest are repeats.  Those left, where an anchor has segments of different content, are
    *open*: only parts of them can match.
@@ -52,7 +52,7 @@ HOT, STEP = 2000, 8
 #: Segments whose strings make one batch of suffixes.
 BATCH_STRINGS = 1 << 19
 
-WIRE = np.dtype([("h", "<u8"), ("s", "<u4"), ("s2", "u1"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
+WIRE = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
 
 
 # ---------------------------------------------------------------- segments
@@ -111,7 +111,7 @@ def _cut(batches, length: int, buckets: int):
             yield 0, 1, None, np.stack([own, start, end]).astype("<i8").tobytes()
         doc, at, n, off, h, s = (x[~again] for x in (doc, at, n, off, h, s))
         out = np.empty(len(h), WIRE)
-        out["h"], out["s"], out["s2"], out["at"], out["n"], out["off"] = h, s & np.uint64(0xFFFFFFFF), (s >> np.uint64(32)) & np.uint64(255), at, n, off
+        out["h"], out["s"], out["at"], out["n"], out["off"] = h, s, at, n, off
         bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((doc, bucket))
         out, bucket, doc = out[order], bucket[order], doc[order]
@@ -212,10 +212,9 @@ def _judge(batches, length: int, hot: int):
     same = h[1:] == h[:-1]
     order = order[np.append(False, same) | np.append(same, False)]
     wire, doc = wire[order], doc[order]
-    s = wire["s"].astype(np.int64) | wire["s2"].astype(np.int64) << 32
-    order = np.lexsort((wire["at"], doc, s, wire["h"]))
-    wire, doc, s = wire[order], doc[order], s[order]
-    h, at, n = wire["h"], wire["at"].astype(np.int64), wire["n"].astype(np.int64)
+    order = np.lexsort((wire["at"], doc, wire["s"], wire["h"]))
+    wire, doc = wire[order], doc[order]
+    h, s, at, n = wire["h"], wire["s"], wire["at"].astype(np.int64), wire["n"].astype(np.int64)
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
     repeat = elsewhere(again, doc, at)

@@ -4,6 +4,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomwork.llm.suffix_dedup import SuffixFamily, remove_repeats
@@ -80,3 +81,25 @@ def test_levels_stay_few():
         assert len(family.levels) <= 8
         sizes = [len(x[0]).bit_length() for x in family.levels]
         assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+
+
+def test_contents_are_told_apart_by_the_whole_hash(monkeypatch):
+    import loomwork.llm.suffix_dedup as sd
+
+    rnd = random.Random(6)
+    common = "".join(rnd.choice("abcdefgh ") for _ in range(160))
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(60)) + common + "".join(rnd.choice("abcdefgh ") for _ in range(60)) for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t.encode()])], names=["doc_id", "text"]) for k, t in enumerate(texts)]
+
+    def judged():
+        sent = [b for own in batches for b in sd._cut([own], 100, 1)]  # each document from a partition of its own
+        return sorted(tuple(r.items()) for b in sd._judge(sent, 100, 2000) for r in b.to_pylist())
+
+    want, plain = judged(), sd.segments
+
+    def high(*args):
+        *rest, content = plain(*args)
+        return *rest, content << np.uint64(40)  # hashes that differ above the lowest 40 bits only
+
+    monkeypatch.setattr(sd, "segments", high)
+    assert judged() == want
