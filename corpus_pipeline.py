@@ -2,50 +2,81 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return the columns of
 documents; between two stages the documents are written as Parquet and read again.
+
+Decisions hold for rows, not for ids: null and repeated doc_ids are documents of their own.  Where an
+operator tells rows by an id it gets a row key that rises with doc_id (nulls first), so "smallest" and
+"largest" are as by doc_id, and rows of one id follow each other in some order.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialize, table
+from loomwork.llm.common import materialize, ship, table
 from loomwork.llm.exact_dedup import exact_dedup
 from loomwork.llm.near_dedup import near_classes
 from loomwork.llm.packing import pack_documents
 from loomwork.llm.suffix_dedup import remove_repeats
-from loomwork.llm.toxicity import fit, score_documents
+from loomwork.llm.toxicity import fit, loaded
+
+KEY = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a unique row key that rises with doc_id, nulls first; many rows of one id are dealt out by their places."""
+    doc_id = F.col("doc_id").cast("long")
+    dealt = docs.withColumn(KEY, F.monotonically_increasing_id()).repartitionByRange(doc_id, F.col(KEY)).sortWithinPartitions(doc_id, F.col(KEY))
+    return materialize(dealt.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def _keep(keyed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows whose key is among the decisions (doc_id), without the key."""
+    ids = materialize(decisions.select(F.col("doc_id").alias(KEY)), "kept")
+    return keyed.join(ids, KEY, "left_semi").drop(KEY)
+
+
+def _clean(model: bytes, at: int):
+    """Passes on the rows that are not predicted as toxic; at: the column of the text."""
 
+    def run(batches):
+        own = loaded(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield part.filter(pa.array([s < 0.5 for s in own.scores([t or "" for t in part.column(at).to_pylist()])]))
 
-def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among the decisions (doc_id); a null id is an id like another."""
-    ids = materialize(decisions.select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    return run
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the model predicts as toxic."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, score_documents(docs, model).where("predicted = 0"))
+    ship(spark)
+    return docs.mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the largest doc_id of each group of equal texts."""
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    keyed = _keyed(docs)
+    return _keep(keyed, exact_dedup(keyed, KEY).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near-duplicates (five-word shingles, similarity 0.8)."""
-    return _keep(docs, near_classes(docs, 5, 4, 5).where("kept"))
+    keyed = _keyed(docs)
+    return _keep(keyed, near_classes(keyed, 5, 4, 5, KEY).where("kept"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of 100 bytes and more that an earlier document holds; every document stays, with what is left of it."""
-    cut = remove_repeats(docs, 100, full=True).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]))
-    values = {"text": F.when(docs["text"].isNotNull(), F.col("_text")), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return joined.select(*(values[c].alias(c) if values.get(c) is not None else docs[c] for c in docs.columns))
+    keyed = _keyed(docs)
+    cut = remove_repeats(keyed, 100, True, KEY).select(F.col("doc_id").alias(KEY), F.col("text").alias("_text"))
+    joined = keyed.join(cut, KEY)
+    values = {"text": F.when(F.col("text").isNotNull(), F.col("_text")), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return joined.select(*(values[c].alias(c) if values.get(c) is not None else F.col(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Every stage of the pipeline against a plain version of its rule on the stage's own input."""
 
 import pickle
+import random
 
 import corpus_pipeline as cp
-from loomwork.llm.toxicity import fit
+from loomwork.llm.toxicity import ToxicityModel, fit
 from tests.llm.test_near_dedup import brute as near_brute
 from tests.llm.test_suffix_dedup import brute as suffix_brute
 
@@ -44,3 +45,36 @@ def test_stages(spark, sf001):
 
     pieces = cp.packing(spark, out, sf001).collect()
     assert {r["doc_id"] for r in pieces} == set(after)
+
+
+def test_null_and_repeated_ids(spark, sf001, monkeypatch):
+    rnd = random.Random(3)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    frame = lambda rows: spark.createDataFrame([(d, t, s, len(t or "")) for d, t, s in rows], "doc_id long, text string, source string, n_chars long").repartition(5)
+    rows_of = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    # toxic rows go, clean rows of the same id stay
+    clean, toxic = [prose(30) for _ in range(80)], [prose(30) + " you stupid pathetic moron" for _ in range(80)]
+    model = ToxicityModel(clean + toxic, [0] * 80 + [1] * 80)
+    assert max(model.scores(clean)) < 0.5 <= min(model.scores(toxic))
+    monkeypatch.setattr(cp, "fit", lambda docs, labels: pickle.dumps(model))
+    odd = frame([(i, t, "s") for i in (None, 1) for t in toxic[:2] + clean[:2] + clean[:1]])
+    assert rows_of(cp.toxicity(spark, odd, sf001)) == sorted([(i, t) for i in (None, 1) for t in clean[:2] + clean[:1]], key=str)
+
+    # one row of each text, whatever the ids
+    a, b, c = (prose(60) for _ in range(3))
+    rows = [(5, a, "x"), (5, a, "y"), (5, b, "x"), (9, b, "x"), (None, a, "x"), (None, c, "x"), (None, c, "y"), (None, None, "x"), (None, "", "x")]
+    got = rows_of(cp.exact(spark, frame(rows), sf001))
+    assert sorted((t or "", str(d)) for d, t in got) == sorted([(a, "5"), (b, "9"), (c, "None"), ("", "None")])
+
+    # near-duplicates link whatever their ids; one row of each component stays
+    out = rows_of(cp.near(spark, frame([(None, a, "x"), (None, a + " more", "x"), (7, b, "x"), (7, b + " more", "x"), (7, c, "x")]), sf001))
+    assert len(out) == 3 and sorted((t[:20], d) for d, t in out) == sorted([(a[:20], None), (b[:20], 7), (c[:20], 7)], key=lambda x: x[0])
+
+    # every row stays once, with its own text; the first holds the passage
+    rows = [(None, a, "x"), (None, "1 " + a, "y"), (None, b, "z"), (3, c, "x"), (3, c, "y"), (4, "short", "x")]
+    out = cp.repeats(spark, frame(rows), sf001).collect()
+    assert sorted((str(r["doc_id"]), r["source"]) for r in out) == sorted((str(d), s) for d, _, s in rows)
+    left = sorted(len(r["text"]) for r in out)
+    assert left[:3] in ([0, 0, 5], [0, 2, 5]) and left[3:] in ([len(a)] * 3, [len(a)] * 2 + [len(a) + 2])
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
