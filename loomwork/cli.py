@@ -1,8 +1,9 @@
-"""A small shell: python -m loomwork.cli [-c SQL | -f FILE] [--master ADDRESS] [--format table|csv|json]."""
+"""A small shell: python -m loomwork.cli [-c SQL | -f FILE] [--master ADDRESS] [--format table|csv|json] [--maxrows N]."""
 
 from __future__ import annotations
 
 import argparse
+import csv
 import sys
 import time
 
@@ -12,21 +13,24 @@ from loomwork import dialect
 from loomwork.session import Loom, remote, standalone
 
 HELP = r"""\q quit   \d list tables   \d NAME columns of a table   \h list functions   \h NAME describe one
-\quiet on|off   timings   \pset format table|csv|json   \? this help"""
+\quiet on|off   timings   \pset format table|csv|json   \pset maxrows N|unlimited   \? this help"""
 
 
 class Shell:
-    def __init__(self, loom: Loom, kind: str = "table", out=sys.stdout):
-        self.loom, self.kind, self.quiet, self.out = loom, kind, False, out
+    def __init__(self, loom: Loom, kind: str = "table", out=sys.stdout, most: int | None = None):
+        self.loom, self.kind, self.quiet, self.out, self.most = loom, kind, False, out, most
 
-    def show(self, df: DataFrame, most: int = 1000) -> None:
-        rows = df.limit(most)
+    def show(self, df: DataFrame) -> None:
+        """Writes every row, or the first self.most; csv and json a row at a time."""
+        rows = df if self.most is None else df.limit(self.most)
         if self.kind == "csv":
-            self.out.write(rows.toPandas().to_csv(index=False))
+            to = csv.writer(self.out, lineterminator="\n")
+            to.writerow(rows.columns)
+            to.writerows(rows.toLocalIterator())
         elif self.kind == "json":
             self.out.writelines(x + "\n" for x in rows.toJSON().toLocalIterator())
         else:
-            self.out.write(rows._show_string(most, False, False))
+            self.out.write(rows._show_string((1 << 31) - 2 if self.most is None else self.most, False, False))
 
     def command(self, line: str) -> bool:
         """A backslash command; False ends the shell."""
@@ -41,7 +45,10 @@ class Shell:
         elif name == r"\quiet":
             self.quiet = rest != "off" if rest else not self.quiet
         elif name == r"\pset":
-            self.kind = rest.split()[-1] if rest else self.kind
+            if rest.startswith("maxrows"):
+                self.most = None if rest.split()[-1] == "unlimited" else int(rest.split()[-1])
+            else:
+                self.kind = rest.split()[-1] if rest else self.kind
         else:
             self.out.write(HELP + "\n")
         return True
@@ -79,9 +86,10 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("-f", "--file", action="append", default=[])
     p.add_argument("--master")
     p.add_argument("--format", default="table", choices=("table", "csv", "json"))
+    p.add_argument("--maxrows", type=int, help="rows to write of each result; all by default")
     p.add_argument("-q", "--quiet", action="store_true")
     own = p.parse_args(args)
-    shell = Shell(remote(own.master) if own.master else standalone(), own.format)
+    shell = Shell(remote(own.master) if own.master else standalone(), own.format, most=own.maxrows)
     shell.quiet = own.quiet
     for name in own.file:
         with open(name, encoding="utf8") as f:

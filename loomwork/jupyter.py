@@ -28,6 +28,6 @@ def load_ipython_extension(ip) -> None:
         @line_cell_magic
         def sql(self, line, cell=None):
             out = list(self._loom().script(cell if cell is not None else line))
-            return out[-1].limit(1000).toPandas() if out else None
+            return out[-1].toPandas() if out else None
 
     ip.register_magics(LoomMagics)

@@ -163,3 +163,21 @@ def test_retry_keeps_the_rows(spark):
 
 def test_suites_agree_with_an_oracle_here(spark):
     assert duckdb.sql("SELECT 1").fetchall() == [(1,)]
+
+
+def test_shell_writes_every_row(loom):
+    text = "SELECT id AS a, IF(id = 1, NULL, 'x,y') AS b FROM range(2500)"
+    for kind, more in (("csv", 1), ("json", 0), ("table", 4)):
+        out = io.StringIO()
+        shell = Shell(loom, kind, out)
+        shell.quiet = True
+        shell.run(text)
+        assert len(out.getvalue().strip().split("\n")) == 2500 + more
+        assert shell.command(r"\pset maxrows 7") and shell.kind == kind
+        out.seek(out.truncate(0))
+        shell.run(text)
+        assert len([x for x in out.getvalue().split("\n") if "x,y" in x]) == 6
+    shell = Shell(loom, "csv", out := io.StringIO(), 2)
+    shell.quiet = True
+    shell.run(text)
+    assert out.getvalue() == 'a,b\n0,"x,y"\n1,\n'
