@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK, SPACE, ChunkCache, spans
-from .common import batched, rows_of, ship
+from .common import batched, kept, rows_of, ship
 
 
 def byte_chars() -> list[str]:
@@ -86,7 +86,7 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 class ByteBPE:
     """Encodes and decodes with the ranks at path and the pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 250_000):
+    def __init__(self, path: str, pattern: str, cached: int = 48 << 20):
         import sentencepiece
 
         self.ranks = read_ranks(path)
@@ -123,15 +123,9 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_KEPT: dict[tuple, ByteBPE] = {}
-
-
 def tokenizer(path: str, pattern: str) -> ByteBPE:
     """One for each worker process and vocabulary."""
-    if (path, pattern) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path, pattern] = ByteBPE(path, pattern)
-    return _KEPT[path, pattern]
+    return kept((ByteBPE, path, pattern), lambda: ByteBPE(path, pattern))
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -19,22 +19,24 @@ WORD = re.compile(f"[^{SPACE}]+")
 
 
 class ChunkCache:
-    """chunk to what encode() makes of it, for lists of chunks; emptied when it is full."""
+    """chunk to the bytes that encode() makes of it, for lists of chunks; emptied when it holds over ``limit`` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    ENTRY = 200  # bytes of an entry besides its characters
 
-    def get(self, chunks: list[str]) -> list:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 48 << 20):
+        self.encode, self.limit, self.known, self.bytes = encode, limit, {}, 0
+
+    def get(self, chunks: list[str]) -> list[bytes]:
         known = self.known
         missing = [c for c in set(chunks) if c not in known]
         if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = list(set(chunks))
-            known.update(zip(missing, self.encode(missing)))
+            made = self.encode(missing)
+            known.update(zip(missing, made))
+            self.bytes += sum(map(len, missing)) + sum(map(len, made)) + self.ENTRY * len(made)
         out = list(map(known.__getitem__, chunks))
-        if len(known) > self.limit:
+        if self.bytes > self.limit:
             known.clear()
+            self.bytes = 0
         return out
 
 

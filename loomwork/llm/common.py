@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of values that one Arrow batch sent back to Spark holds at most, but for a single larger row.
 BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch that Spark sends to a Python worker, where the session doesn't say otherwise.
+SENT_BYTES, SENT_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a SparkContext; they need no shared Python path."""
+    """Sends this package to the executors once a SparkContext; they need no shared Python path.  Bounds the bytes of Arrow batches."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(SENT_SETTING):
+        spark.conf.set(SENT_SETTING, str(SENT_BYTES))
     if getattr(sc, "_loomwork_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -36,27 +41,33 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; without it a folder of this machine, for a local master only."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(spark.sparkContext, "_loomwork_scratch", None)
         if where is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = spark.sparkContext._loomwork_scratch = "file://" + tempfile.mkdtemp(prefix="loomwork-scratch-")
     return where.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(path: str) -> None:
+    """Removes a folder, if it is there; one in a store that only Spark reaches stays."""
+    if path.startswith("file:"):
+        path = path[5:]
     try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        store, where = fs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri())
+        if store.get_file_info(where).type != fs.FileType.NotFound:
+            store.delete_dir(where)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         pass
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the driver's Python ends."""
+    """A new path in the shared folder; removed when the driver's Python ends, if drop_scratch() hasn't done it before."""
     path = f"{scratch(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(_remove, path)
     return path
 
 
@@ -65,13 +76,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Removes the files of a DataFrame that materialize() returned, once nothing reads them any more."""
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        _remove(df.sparkSession, f)
+def drop_scratch(*made: DataFrame) -> None:
+    """Removes the files of DataFrames that materialize() returned; for when nothing reads them any more."""
+    for df in made:
+        _remove(df.scratch_path)
+
+
+_KEPT: list[tuple[Hashable, object]] = []
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """An object that a worker process keeps from one task to the next; one at a time, whatever the operator."""
+    if not _KEPT or _KEPT[0][0] != key:
+        release()
+        _KEPT.append((key, make()))
+    return _KEPT[0][1]
+
+
+def release() -> None:
+    """Drops what kept() holds and gives free memory back; tasks of operators that keep nothing begin with it."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:

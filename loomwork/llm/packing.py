@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import mapped
 from .chunks import WORD, ChunkCache, spans
-from .common import batched, materialize, rows_of, ship
+from .common import batched, kept, materialize, rows_of, ship
 
 
 # ---------------------------------------------------------------- tokens
@@ -51,7 +51,7 @@ class WordTokenizer:
     PLAIN = regex.compile(r"[!-˿]+")
     ODD_SPACE = tuple("\x1c\x1d\x1e\x1f")
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,14 +91,9 @@ class WordTokenizer:
         return b"".join(b"".join(self.of_word.get(cut(part))) for part in spans(text))
 
 
-_KEPT: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
-    if path not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path] = WordTokenizer(path)
-    return _KEPT[path]
+    """One for each worker process and vocabulary."""
+    return kept((WordTokenizer, path), lambda: WordTokenizer(path))
 
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])

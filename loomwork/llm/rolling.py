@@ -37,7 +37,7 @@ class Rolling:
                 p[0] = 1
                 np.cumprod(p, out=p)
                 made.append(p)
-            if size > 1 << 22:  # not worth keeping
+            if size > 1 << 20:  # not worth keeping
                 return tuple(made)
             cls._powers[base] = have = tuple(made)
         return have

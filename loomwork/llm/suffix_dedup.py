@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, rows_of, ship
+from .common import batched, materialize, release, rows_of, ship
 from .rolling import Rolling, mix, sliding_min
 
 NONE = -(1 << 63)
@@ -46,7 +46,7 @@ ANCHOR = 32
 #: A long text is cut into blocks of so many string starts.
 BLOCK = 1 << 20
 #: Bytes of text whose segments an input partition folds at a time.
-FOLD_BYTES = 48 << 20
+FOLD_BYTES = 24 << 20
 #: Open segments of one anchor above which they are dealt out by distance.
 HOT, STEP = 2000, 8
 #: Segments whose strings make one batch of suffixes.
@@ -96,6 +96,7 @@ def _blocks(docs: Iterator[tuple[int, bytes]], length: int):
 
 def _cut(batches, length: int, buckets: int):
     """Rows (bucket, kind, ids, data): kind 0 holds segments, kind 1 repeats found within the partition."""
+    release()
 
     def flush(found, ids):
         doc = np.concatenate([f[0] for f in found])
@@ -193,6 +194,7 @@ def _batch(doc, start, end, anchor=None) -> pa.RecordBatch:
 
 def _judge(batches, length: int, hot: int):
     """Repeats (anchor null) and open segments (the key under which they meet in anchor)."""
+    release()
     wires, docs = [], []
     for _, kind, ids, data in rows_of(batches):
         if kind == 1:
@@ -300,6 +302,7 @@ class SuffixFamily:
 
 def _scan(batches, length: int):
     """Open segments with their bytes to the stretches of their repeats."""
+    release()
     family, dups, held, strings = SuffixFamily(), [], [], 0
 
     def take():
@@ -336,6 +339,8 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def _open_bytes(batches, length: int):
+    release()
+
     def rows():
         for doc_id, text, spans in rows_of(batches):
             text = text or b""
@@ -358,13 +363,19 @@ def merged(spans: list[dict] | None, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def left_of(text: bytes, spans: list[dict] | None) -> bytes:
+    """The bytes outside the spans."""
+    edges = [0, *(e for span in merged(spans, len(text)) for e in span), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def _finish(batches, full: bool):
+    release()
+
     def rows():
         for doc_id, text, spans in rows_of(batches):
             text = text or b""
-            cut = merged(spans, len(text))
-            edges = [0, *(e for span in cut for e in span), len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            cut, kept = merged(spans, len(text)), left_of(text, spans)
             if doc_id == NONE:
                 doc_id = None
             if full:

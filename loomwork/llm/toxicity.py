@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, rows_of, ship
+from .common import batched, kept, rows_of, ship
 from .rolling import mix
 
 #: Labelled documents of each class that training reads at most.
 TRAIN_DOCS = 1500
 DECAY, SPAN, FLOOR, LANDMARKS, COUNTER = 0.6, 6, 0.35, 72, 24
 WIDTH, STRIDE = 24, 12
+#: Bytes of words and rows that a worker process keeps.
+CACHE_BYTES = 144 << 20
 #: How clearly a landmark must speak for toxic documents, in standard deviations of the difference of shares.
 CLEAR = 3.0
 ENDS = frozenset(".!?|;:")
@@ -83,6 +85,7 @@ class Landmarks:
         self.maybe[(self.f & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
         self.known: dict[str, np.ndarray | None] = {}
         self.bare: dict[str, np.ndarray | None] = {}
+        self.bytes = 0
 
     def matrix(self, words: list[str]) -> np.ndarray:
         """Words of any length: long ones by their windows, of which the nearest counts."""
@@ -116,19 +119,21 @@ class Landmarks:
 
     def of(self, words: Iterable[str]) -> None:
         """Makes known[word] the row of the word without the marks around it, or None if all of it is 0."""
-        missing = {w for w in set(words) if w not in self.known}
-        if len(self.known) + len(missing) > 400_000:
+        if self.bytes > CACHE_BYTES:
             self.known.clear()
             self.bare.clear()
-            missing = set(words)
+            self.bytes = 0
+        missing = {w for w in set(words) if w not in self.known}
         inner = {w: w.strip(EDGES) for w in missing}
         new = [w for w in set(inner.values()) if w not in self.bare]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
+        for k in range(0, len(new), 1024):
+            some = new[k : k + 1024]
             m = self.matrix(some)
             hot = m.any(axis=1)
             self.bare.update((w, m[j].copy() if hot[j] else None) for j, w in enumerate(some))
+            self.bytes += sum(map(len, some)) + 160 * len(some) + (4 * m.shape[1] + 120) * int(hot.sum())
         self.known.update((w, self.bare[x]) for w, x in inner.items())
+        self.bytes += sum(map(len, inner)) + 160 * len(inner)
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
         """For each text a row for each sentence with a word near a landmark."""
@@ -290,14 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> bytes:
 
 
 REMAINDER = "crc32(cast(cast(doc_id as string) as binary)) % 5"
-_KEPT: dict[bytes, ToxicityModel] = {}
-
-
 def loaded(model: bytes) -> ToxicityModel:
-    if model not in _KEPT:
-        _KEPT.clear()
-        _KEPT[model] = pickle.loads(model)
-    return _KEPT[model]
+    return kept((ToxicityModel, model), lambda: pickle.loads(model))
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
