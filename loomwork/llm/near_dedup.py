@@ -8,12 +8,17 @@ One hash function orders the shingles of a document; its sketch is the k smalles
    only where the documents agree around it).  For a similarity of 0.8 the chance that two sketches
    of 32 have no such pair in common is about 1e-9.
 3. Lists of up to SMALL documents generate the pairs in them with their overlap, the number of
-   lists in common.  From longer lists every document is paired with the PIVOTS most central ones.
-4. The union sketch (the k smallest of both) estimates the similarity and drops clear misses.
-5. Exact Jaccard on full shingle sets verifies, first the best partners of each document, then what
+   lists in common.  Longer lists matter only to *heavy* documents, those with fewer than LIGHT keys in
+   short lists or of their own: what is similar to a document with LIGHT such keys shares two of
+   them but for a chance of about 5e-5, even if all that differs lies outside the passages that made the other
+   lists long.  The heavy documents of a long list make a list that is treated by its new length.
+4. In a list that is still long the most central document of each of PIVOTS shares of it is a pivot; every document is paired
+   once with each distinct pivot of its lists.
+5. The union sketch (the k smallest of both) estimates the similarity and drops clear misses.
+6. Exact Jaccard on full shingle sets verifies, first the best partners of each document, then what
    still lies between different components.
-6. Exact way for long lists: where documents of a long list are still in different components, all
-   of these are compared with all of the list, block by block.  Sketches say which documents
+7. Exact way for long lists: where documents of such a list are still in different components, those
+   outside its largest component are compared with all of the list, block by block.  Sketches say which documents
    have a possible partner; sets verify, and a document is done with a component at the first link.
    Pairs never become rows, and a pair is judged in one list only.
 
@@ -34,13 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, rows_of, ship
+from .common import batched, drop_scratch, materialize, release, rows_of, ship
 from .components import components
 from .rolling import mix
 from .shingles import overlap, shingle_sets
 
 SKETCH, INDEXED = 64, 32
-SMALL, PIVOTS, BLOCK = 64, 8, 768
+NO_VALUE = np.uint64((1 << 64) - 1)
+SMALL, LIGHT, PIVOTS = 64, 24, 8
+#: Documents and shingles of one side of a block in the exact pass.
+BLOCK, BLOCK_SHINGLES = 768, 1 << 21
 
 
 def bottom(own: np.ndarray, k: int = SKETCH) -> np.ndarray:
@@ -59,6 +67,16 @@ def estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
     return int(twice.sum()) / max(len(distinct), 1)
 
 
+def estimates(a: np.ndarray, many: np.ndarray, k: int = SKETCH) -> np.ndarray:
+    """estimate() of a with each row of many, whose sketches are filled up to k values with NO_VALUE."""
+    both = np.concatenate([many, np.broadcast_to(a, (len(many), len(a)))], axis=1)
+    both.sort(axis=1)
+    value = both[:, 1:] != NO_VALUE
+    twice = (both[:, 1:] == both[:, :-1]) & value
+    distinct = 1 + np.cumsum(~twice & value, axis=1)
+    return (twice & (distinct <= k)).sum(axis=1) / np.maximum(np.minimum(distinct[:, -1], k), 1)
+
+
 def least_estimate(threshold: float, k: int = SKETCH) -> float:
     """Below it lies the estimate of a pair at the threshold with a chance of about 3e-5 (four standard deviations)."""
     return threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
@@ -70,6 +88,8 @@ def keys_of(sketch: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches, width: int):
+    release()
+
     def rows():
         for doc_id, own in shingle_sets(rows_of(batches), width):
             yield doc_id, len(own), xxhash.xxh3_128_digest(own.tobytes()), bottom(own).tobytes()
@@ -79,9 +99,10 @@ def _signatures(batches, width: int):
 
 def _postings(batches):
     for batch in batches:
-        keys = [keys_of(np.frombuffer(s, np.uint64)) for s in batch.column(1).to_pylist()]
-        rep = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(rep)], names=["key", "rep"])
+        keys = [keys_of(np.frombuffer(s, np.uint64)) for s in batch.column(2).to_pylist()]
+        times = [len(k) for k in keys]
+        flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([flat, *(pa.array(np.repeat(batch.column(k).to_numpy(), times)) for k in (0, 1))], names=["key", "rep", "n"])
 
 
 def _estimated(batches, least: float):
@@ -103,6 +124,7 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 def _verified(batches, width: int, num: int, den: int):
     """Rows by group, the pivot first: b, salt, role, a, text."""
+    release()
 
     def rows():
         pivot, held = None, None
@@ -122,6 +144,7 @@ def _groups(rows, width: int):
 
 def _possible(batches, least: float):
     """Which documents of a pair of blocks have a partner that the sketches allow: rows (key, i, j, role, rep, comp, own, sketch)."""
+    release()
 
     def rows():
         for (key, i, j), group in _groups(rows_of(batches), 3):
@@ -134,17 +157,19 @@ def _possible(batches, least: float):
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
             comps = np.array([r[5] for r in right])
+            sketches = np.full((len(right), SKETCH), NO_VALUE)
+            for k, r in enumerate(right):
+                sketches[k, : size[k]] = np.frombuffer(r[7], np.uint64)
             used: set[int] = set()
             for r in left:
                 own = np.frombuffer(r[7], np.uint64)
                 lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
                 hits = np.concatenate([owner[a:b] for a, b in zip(lo, hi) if b > a] or [np.zeros(0, np.int64)])
                 n = np.bincount(hits, minlength=len(right))
+                some = np.flatnonzero((n >= 0.5 * least * len(own)) & (comps != r[5]))
                 hit = False
-                for k in np.flatnonzero((n >= 0.5 * least * len(own)) & (comps != r[5])).tolist():
-                    if hit and k in used:
-                        continue
-                    if judged_here(key, r[6], right[k][6]) and estimate(own, np.frombuffer(right[k][7], np.uint64)) >= least:
+                for k in some[estimates(own, sketches[some]) >= least].tolist():
+                    if not (hit and k in used) and judged_here(key, r[6], right[k][6]):
                         used.add(k)
                         hit = True
                 if hit:
@@ -163,6 +188,7 @@ def judged_here(key: int, a: list[int], b: list[int]) -> bool:
 
 def _block_links(batches, width: int, num: int, den: int, least: float):
     """Rows (key, i, j, role, rep, comp, own, sketch, text) by block to verified links."""
+    release()
 
     def rows():
         for (key, _, _), group in _groups(rows_of(batches), 3):
@@ -196,33 +222,39 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id
     spark = docs.sparkSession
     ship(spark)
     least = least_estimate(num / den)
+    # a given number of partitions, which isn't lowered where few bytes make much work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sig = materialize(source.mapInArrow(lambda b: _signatures(b, width), "doc_id long, n long, set_key binary, sketch binary"), "signatures")
     filled = sig.where("n > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    postings = classes.select("rep", "sketch").mapInArrow(_postings, "key long, rep long")
+    postings = materialize(classes.select("rep", "n", "sketch").mapInArrow(_postings, "key long, rep long, n long"), "postings")
     sizes = materialize(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     lists = materialize(postings.join(sizes, "key"), "lists")
+    long_ = lists.where(F.col("size") > small)
+    by_rep = long_.groupBy("rep").agg(F.first("n").alias("n"), F.collect_list(F.struct("key", "size")).alias("own"))
+    heavy = by_rep.where(f"least(n, {INDEXED}) - 1 - size(own) < {LIGHT}")
+    left_over = heavy.select("rep", "n", F.expr("aggregate(own, 0D, (a, x) -> a + log2(x.size))").alias("central"), F.explode("own.key").alias("key"))
+    dense = materialize(left_over.join(left_over.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "dense")
+    long_ = dense.where(F.col("size") > small)
 
     # overlaps from short lists, pivots from long ones
-    short = lists.where(F.col("size") <= small).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("r"))
+    alike = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"
+    short = lists.unionByName(dense.select(*lists.columns)).where(F.col("size") <= small)
+    short = short.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("r"))
     pairs = (
-        short.select(F.posexplode("r").alias("k", "b"), "r").where(F.expr("k + 1 < size(r)"))
-        .select("b", F.explode(F.expr("slice(r, k + 2, size(r))")).alias("a")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+        short.select(F.posexplode("r").alias("k", "y"), "r").where(F.expr("k + 1 < size(r)"))
+        .select("y", F.explode(F.expr(f"filter(slice(r, k + 2, size(r)), x -> {alike})")).alias("x"))
+        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.n", "y.n")).alias("n"))
+        .where(f"shared >= greatest(1, least(n, {INDEXED}) div 16)").select("a", "b")
     )
-    n = classes.select("rep", "n")
-    pairs = (
-        pairs.join(n.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        .where(F.expr(f"shared >= greatest(1, least(na, nb, {INDEXED}) div 10) and {den} * least(na, nb) >= {num} * greatest(na, nb)")).select("a", "b")
-    )
-    long_ = lists.where(F.col("size") > small)
-    central = lists.groupBy("rep").agg(F.sum(F.log2("size")).alias("central"))
-    # the most central members of each list, by partial top-k: no list meets in one task
-    packed = long_.join(central, "rep").groupBy("key", F.spark_partition_id().alias("p")).agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("central"), "rep"))), 1, PIVOTS).alias("t"))
-    pivots = packed.select("key", F.explode("t").alias("t")).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("t"))).where(F.col("nth") <= PIVOTS)
-    pivots = materialize(pivots.select("key", F.col("t.rep").alias("pivot")), "pivots")
-    stars = long_.join(pivots, "key").where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
+    share = F.expr(f"pmod(hash(rep), {PIVOTS})").alias("share")
+    pivots = long_.groupBy("key", share).agg(F.max_by(F.struct("rep", "n"), F.struct("central", -F.col("rep"))).alias("pivot"))
+    pivots = materialize(pivots.groupBy("key").agg(F.collect_list("pivot").alias("pivots")), "pivots")
+    stars = long_.join(pivots, "key").groupBy("rep").agg(F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
+    stars = stars.select(F.struct("rep", "n").alias("x"), F.explode("pivots").alias("y")).where(f"x.rep <> y.rep and {alike}")
+    stars = stars.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"))
     sketch = classes.select("rep", "sketch")
     judged = (
         pairs.unionByName(stars).distinct()
@@ -233,15 +265,16 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id
 
     # whole texts of all documents that can take part from here on
     needed = judged.select(F.col("a").alias("doc_id")).unionByName(judged.select(F.col("b").alias("doc_id"))).unionByName(long_.select(F.col("rep").alias("doc_id"))).distinct()
-    texts = materialize(source.join(needed, "doc_id", "left_semi"), "texts")
+    # joins with texts are merge joins at every size
+    texts = materialize(source.join(needed.hint("merge"), "doc_id", "left_semi"), "texts")
 
     def verify(edges: DataFrame, name: str) -> DataFrame:
         salts = edges.groupBy("b").agg(F.ceil(F.count("*") / 256).cast("int").alias("s"))
         salted = edges.join(salts, "b").select("a", "b", F.expr("cast(pmod(hash(a), s) as int)").alias("salt"))
         members = salted.select("b", "salt", F.lit(1).alias("role"), "a")
         heads = salted.select("b", "salt").distinct().select("b", "salt", F.lit(0).alias("role"), F.col("b").alias("a"))
-        placed = members.unionByName(heads).join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "salt", "role", "a", "text")
-        placed = placed.repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
+        placed = members.unionByName(heads).join(texts.withColumnRenamed("doc_id", "a").hint("merge"), "a").select("b", "salt", "role", "a", "text")
+        placed = placed.repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "role")
         return materialize(placed.mapInArrow(lambda x: _verified(x, width, num, den), "a long, b long"), name)
 
     def across(edges: DataFrame, found: DataFrame) -> DataFrame:
@@ -253,30 +286,37 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id
     best = judged.groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b")).unionByName(
         judged.groupBy("b").agg(F.max_by("a", F.struct("e", -F.col("a"))).alias("a")).select("a", "b")
     )
-    links = verify(best.distinct(), "links")
-    found = materialize(components(links), "components")
-    links = links.unionByName(verify(across(judged, found).select("a", "b"), "links"))
+    first = verify(best.distinct(), "links")
+    found = materialize(components(first), "components")
+    second = verify(across(judged, found).select("a", "b"), "links")
+    links = first.unionByName(second)
+    drop_scratch(found)
     found = materialize(components(links), "components")
 
-    # long lists that still hold several components: these documents against the whole list, in blocks
-    comp = long_.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "size", "rep", F.coalesce("component", "rep").alias("comp"))
-    by_comp = comp.groupBy("key", "comp").count()
-    tops = materialize(by_comp.groupBy("key").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("top"), F.count("*").alias("comps")).where("comps > 1"), "tops")
-    mixed = materialize(comp.join(tops.select("key", "top"), "key"), "mixed")
-    own = mixed.groupBy("rep").agg(F.collect_list("key").alias("own"))
-    rows = mixed.join(own, "rep").join(sketch, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("at", F.expr("cast(pmod(hash(rep), blocks) as int)"))
-    wide = F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = rows.where("comp <> top").select("key", F.col("at").alias("i"), wide.alias("j"), F.lit(0).alias("role"), "rep", "comp", "own", "sketch")
-    right = rows.select("key", wide.alias("i"), F.col("at").alias("j"), F.lit(1).alias("role"), "rep", "comp", "own", "sketch")
+    # long lists that still hold several components: those outside the largest against the whole list, in blocks
+    comp = long_.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    by_comp = comp.groupBy("key", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    blocks_of = lambda count, n: F.ceil(F.greatest(count / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    tops = by_comp.groupBy("key").agg(F.max_by(F.struct("comp", "count", "n"), F.struct("count", -F.col("comp"))).alias("top"), F.count("*").alias("comps"), F.sum("count").alias("count"), F.sum("n").alias("n")).where("comps > 1")
+    tops = tops.select("key", F.col("top.comp").alias("top"), blocks_of(F.col("count") - F.col("top.count"), F.col("n") - F.col("top.n")).alias("outer"), blocks_of(F.col("count"), F.col("n")).alias("blocks"))
+    mixed = materialize(comp.join(tops, "key"), "mixed")
+    rows = mixed.groupBy("rep").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "top", "outer", "blocks")).alias("lists")).join(sketch, "rep")
+    rows = rows.select("rep", "comp", "sketch", F.expr("lists.key").alias("own"), F.inline("lists"))
+    dealt = lambda blocks: F.expr(f"cast(pmod(hash(rep), {blocks}) as int)")
+    every = lambda blocks: F.explode(F.expr(f"sequence(0, {blocks} - 1)"))
+    left = rows.where("comp <> top").select("key", dealt("outer").alias("i"), every("blocks").alias("j"), F.lit(0).alias("role"), "rep", "comp", "own", "sketch")
+    right = rows.select("key", every("outer").alias("i"), dealt("blocks").alias("j"), F.lit(1).alias("role"), "rep", "comp", "own", "sketch")
     blocks = "key long, i int, j int, role int, rep long, comp long, own array<long>, sketch binary"
     order = ("key", "i", "j")
-    possible = left.unionByName(right).repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _possible(b, least), blocks)
+    possible = left.unionByName(right).repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _possible(b, least), blocks)
     possible = materialize(possible, "possible")
-    filled_blocks = possible.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*possible.columns, "text").repartition(*order).sortWithinPartitions(*order)
+    filled_blocks = possible.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select(*possible.columns, "text").repartition(parts, *order).sortWithinPartitions(*order)
     more = materialize(filled_blocks.mapInArrow(lambda b: _block_links(b, width, num, den, least), "a long, b long"), "links")
+    drop_scratch(found)
     found = materialize(components(links.unionByName(more)), "components")
 
     reached = materialize(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "reached")
+    drop_scratch(classes, postings, sizes, lists, dense, pivots, judged, texts, first, second, mixed, possible, more, found)
     return (
         sig.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("set_key")).alias("set_key")).join(reached, "set_key", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

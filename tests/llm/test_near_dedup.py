@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from loomwork.llm.components import components
-from loomwork.llm.near_dedup import near_classes
+from loomwork.llm.near_dedup import NO_VALUE, SKETCH, bottom, estimate, estimates, near_classes
 
 
 def word_sets(text, width):
@@ -86,3 +87,31 @@ def test_documents(spark, sf001):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_classes(docs, 4).collect()}
     assert got == brute(rows, 4)
+
+
+def test_passages_and_a_large_family(spark):
+    """At the registered bounds: lists longer than SMALL, of near copies, and of documents that share half their words only."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    passage = [word() for _ in range(60)]
+    halves = [[word() for _ in range(rnd.choice([20, 40, 60]))] for _ in range(110)]
+    texts = [" ".join(passage + own) for own in halves]
+    for k in range(0, 100, 4):  # near copies whose edits all lie outside the passage
+        own = list(halves[k])
+        own[rnd.randrange(len(own))] = word()
+        texts.append(" ".join(passage + own))
+    texts += family(rnd, 120, 90, 5)
+    texts += [t + " end" for t in family(rnd, 90, 25, 4)]
+    rnd.shuffle(texts)
+    check(spark, list(enumerate(texts)), 4)
+
+
+def test_estimates_of_many():
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 1 << 63, 300).astype(np.uint64)
+    sketches = [bottom(rnd.choice(base, n, replace=False)) for n in (1, 5, 40, 64, 65, 200, 250, 300) for _ in range(4)]
+    filled = np.full((len(sketches), SKETCH), NO_VALUE)
+    for row, s in zip(filled, sketches):
+        row[: len(s)] = s
+    for s in sketches:
+        assert estimates(s, filled).tolist() == [estimate(s, t) for t in sketches]
