@@ -5,7 +5,8 @@ documents; between two stages the documents are written as Parquet and read agai
 
 Decisions hold for rows, not for ids: null and repeated doc_ids are documents of their own.  Where an
 operator tells rows by an id it gets a row key that rises with doc_id (nulls first), so "smallest" and
-"largest" are as by doc_id, and rows of one id follow each other in some order.
+"largest" are as by doc_id, and rows of one id follow each other in some order.  A null text is scored, compared and
+packed as an empty one and stays null; empty tables give empty tables; further columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -14,28 +15,36 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from loomwork.llm.common import materialize, ship, table
-from loomwork.llm.exact_dedup import exact_dedup
+from loomwork.llm.common import materialize, release, ship, table
+from loomwork.llm.exact_dedup import deduplicate
 from loomwork.llm.near_dedup import near_classes
 from loomwork.llm.packing import pack_documents
-from loomwork.llm.suffix_dedup import remove_repeats
+from loomwork.llm.suffix_dedup import left_of, repeated_spans
 from loomwork.llm.toxicity import fit, loaded
 
-KEY = "_row"
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs hasn't."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a unique row key that rises with doc_id, nulls first; many rows of one id are dealt out by their places."""
-    doc_id = F.col("doc_id").cast("long")
-    dealt = docs.withColumn(KEY, F.monotonically_increasing_id()).repartitionByRange(doc_id, F.col(KEY)).sortWithinPartitions(doc_id, F.col(KEY))
-    return materialize(dealt.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
-
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a unique row key that rises with doc_id, nulls first, and the key's name.
 
-def _keep(keyed: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows whose key is among the decisions (doc_id), without the key."""
-    ids = materialize(decisions.select(F.col("doc_id").alias(KEY)), "kept")
-    return keyed.join(ids, KEY, "left_semi").drop(KEY)
+    That is doc_id itself where it is a long, never null and never repeated, which a count by id tells.
+    Otherwise rows are dealt out by id and place and numbered, so that the many rows of one id (or of null) spread.
+    """
+    again = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if docs.schema["doc_id"].dataType == LongType() and again.isEmpty():
+        return docs, "doc_id"
+    key = _free(docs, "_row")
+    doc_id = F.col("doc_id").cast("long")
+    dealt = docs.withColumn(key, F.monotonically_increasing_id()).repartitionByRange(doc_id, F.col(key)).sortWithinPartitions(doc_id, F.col(key))
+    return materialize(dealt.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def _clean(model: bytes, at: int):
@@ -60,23 +69,53 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the largest doc_id of each group of equal texts."""
-    keyed = _keyed(docs)
-    return _keep(keyed, exact_dedup(keyed, KEY).where("kept"))
+    return deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near-duplicates (five-word shingles, similarity 0.8)."""
-    keyed = _keyed(docs)
-    return _keep(keyed, near_classes(keyed, 5, 4, 5, KEY).where("kept"))
+    keyed, key = _keyed(docs)
+    dropped = materialize(near_classes(keyed, 5, 4, 5, key).where("not kept").select(F.col("doc_id").alias(key)), "dropped")
+    return keyed.join(dropped, key, "left_anti").select(*docs.columns)
+
+
+def _without(columns: list[str]):
+    """Rows whose last column holds spans of bytes, to rows of the other columns with these bytes cut out of the text."""
+    text, n_chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches):
+        release()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = part.columns[:-1]
+                texts, spans = part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                cut = [k for k, x in enumerate(spans) if x is not None and texts[k] is not None]
+                for k in cut:
+                    texts[k] = left_of(texts[k].encode(), spans[k]).decode("utf-8", "ignore")
+                if cut:
+                    out[text] = pa.array(texts, out[text].type)
+                if cut and n_chars is not None:
+                    sizes = out[n_chars].to_pylist()
+                    for k in cut:
+                        sizes[k] = len(texts[k])
+                    out[n_chars] = pa.array(sizes, out[n_chars].type)
+                yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return run
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages of 100 bytes and more that an earlier document holds; every document stays, with what is left of it."""
-    keyed = _keyed(docs)
-    cut = remove_repeats(keyed, 100, True, KEY).select(F.col("doc_id").alias(KEY), F.col("text").alias("_text"))
-    joined = keyed.join(cut, KEY)
-    values = {"text": F.when(F.col("text").isNotNull(), F.col("_text")), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return joined.select(*(values[c].alias(c) if values.get(c) is not None else F.col(c) for c in docs.columns))
+    """Cuts out passages of 100 bytes and more that an earlier document holds; every document stays, with what is left of it.
+
+    A character that is cut in part goes.
+    """
+    keyed, key = _keyed(docs)
+    name = _free(docs, "_spans")
+    spans = repeated_spans(keyed, 100, key).select(F.col("doc_id").alias(key), F.col("spans").alias(name))
+    joined = keyed.join(spans, key, "left").select(*docs.columns, name)
+    ship(spark)
+    return joined.mapInArrow(_without(docs.columns), docs.schema)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
