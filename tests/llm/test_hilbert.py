@@ -1,6 +1,8 @@
 """The curve's steps, and the neighbours against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from loomwork.llm.hilbert import hilbert_keys, nearest
 
@@ -33,15 +35,39 @@ def rows_by_query(df):
     return out
 
 
+def recall(got, want):
+    assert set(got) == set(want)
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (5 * len(want))
+
+
 def test_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = df.toPandas()
     ids, v = pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"]).astype(float)
-    want = brute(ids, v, 50, 5)
-    got = rows_by_query(nearest(df, "vec_id % 50 = 0", 5, rows=100))
-    assert set(got) == set(want)
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert hits / (5 * len(want)) >= 0.9
+    assert recall(rows_by_query(nearest(df, "vec_id % 50 = 0", 5)), brute(ids, v, 50, 5)) >= 0.98
+
+
+def test_recall_of_vectors_without_structure(spark, tmp_path):
+    """The registered settings on 20 blocks a curve, in the worst case; and with small windows, which must be narrower than the table."""
+    v = np.random.default_rng(4).standard_normal((20_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": list(v)}), tmp_path / "v.parquet")
+    df, want = spark.read.parquet(str(tmp_path)), brute(np.arange(len(v)), v.astype(float), 500, 5)
+    got = rows_by_query(nearest(df, "vec_id % 500 = 0", 5))
+    assert recall(got, want) >= 0.93
+    assert all(abs(dict(want[q])[i] - s) < 1e-9 for q, r in got.items() for i, s in r if i in dict(want[q]))
+    assert 0.02 < recall(rows_by_query(nearest(df, "vec_id % 500 = 0", 5, curves=4, reach=16, rows=40)), want) < 0.5
+
+
+def test_windows_are_whole_across_blocks_and_partitions(spark):
+    """Along a line of one dimension the window decides alone what is found."""
+    angle = np.linspace(0.1, 3.0, 400)
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(angle)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = rows_by_query(nearest(df, "true", 4, curves=3, rows=10, reach=25))
+    assert len(got) == 400
+    for q, r in got.items():
+        want = set(np.argsort(np.abs(angle - angle[q]), kind="stable")[1:5].tolist())
+        assert len({i for i, _ in r} & want) >= 3
 
 
 def test_special_cases(spark):
