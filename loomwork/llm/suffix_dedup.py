@@ -14,12 +14,12 @@ same anchor form a segment, so a document of n bytes has about 2n/(length-k+2) s
    earliest are repeats.  Those left, where an anchor has segments of different content, are
    *open*: only parts of them can match.
 3. Open segments get their bytes from the documents and go to tasks by anchor.  There each batch of
-   segments becomes a suffix array over all strings in it (cut at ``length`` bytes, which is all that
-   a match of that length can see), is merge-scanned against the existing levels, and what is new
-   becomes a level; levels of the same size class merge, so there are O(log n) of them.  Suffixes
-   are ordered by a 64-bit fingerprint of their ``length`` bytes and told apart by a second one.
-   An anchor with more than HOT open segments is dealt out further, by the distance between a
-   string's start and its anchor, which is the same in equal strings.
+   segments becomes a suffix array over all strings in it, in the order of their bytes (cut at ``length`` bytes,
+   which is all that a match of that length can see).  It is merge-scanned against the existing levels, where bytes
+   decide what is equal, and what is new becomes a level; levels of the same size class merge, so there are O(log n) of them.
+   The segments of an anchor with more than HOT open segments are dealt out further: by the distance between a
+   string's start and its anchor, in steps of STEP, and by a hash of the bytes that all strings of a step
+   have in common.  Both are the same in equal strings.
 4. Repeats are joined with the documents by id and cut out.
 
 Results for special cases: null texts count as empty; texts shorter than ``length`` lose nothing; a
@@ -34,6 +34,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,17 +184,18 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 # ---------------------------------------------------------------- by anchor
 
-JUDGED_SQL = "doc_id long, start long, end long, anchor long"
+JUDGED_SQL = "doc_id long, start long, end long, anchor long, core int"
 
 
-def _batch(doc, start, end, anchor=None) -> pa.RecordBatch:
+def _batch(doc, start, end, anchor=None, core=None) -> pa.RecordBatch:
     columns = [pa.array(np.asarray(x, np.int64)) for x in (doc, start, end)]
     columns.append(pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)))
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "anchor"])
+    columns.append(pa.nulls(len(doc), pa.int32()) if core is None else pa.array(core.astype(np.int32)))
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "anchor", "core"])
 
 
 def _judge(batches, length: int, hot: int):
-    """Repeats (anchor null) and open segments (the key under which they meet in anchor)."""
+    """Repeats (anchor null) and open segments (the key under which they meet in anchor; core: where the bytes begin that decide further)."""
     release()
     wires, docs = [], []
     for _, kind, ids, data in rows_of(batches):
@@ -238,72 +240,148 @@ def _judge(batches, length: int, hot: int):
             some = often[near <= far]
             near, far = near[near <= far], far[near <= far]
             start = at[some] + off[some] - far
-            yield from _parts(doc[some], start, start + far - near + 1, mix(h[some] + np.uint64(d + 1)))
+            yield from _parts(doc[some], start, start + far - near + 1, mix(h[some] + np.uint64(d + 1)), far - d)
 
 
-def _parts(doc, start, end, key):
-    for k in range(0, len(doc), 1 << 16):
-        yield _batch(*(x[k : k + (1 << 16)] for x in (doc, start, end, key)))
+def _parts(*columns):
+    for k in range(0, len(columns[0]), 1 << 16):
+        yield _batch(*(x[k : k + (1 << 16)] for x in columns))
 
 
 # ---------------------------------------------------------------- suffix arrays
 
 
-class SuffixFamily:
-    """Sorted arrays of suffixes (fingerprints of their first bytes, document, place) in levels of falling size class.
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number that orders like them; zeros follow the end."""
+    pad = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | pad[k : k + len(data)]
+    return out
+
+
+def suffix_order(words: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at start by their first ``length`` bytes, and whether each equals the one before it.
 
-    Of equal strings only the earliest is held; every later one is reported by add().
+    Ranks by 8 bytes give ranks by 16, these by 32 and so on; the last step takes what overlaps.  Places
+    in words whose strings reach into the next segment get ranks as well, which no valid start uses.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[list[np.ndarray]] = []
-
-    def add(self, f: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((at, doc))
-        order = order[np.argsort(f[order], kind="stable")]
-        f, g, doc, at = (x[order] for x in (f, g, doc, at))
-        again = np.zeros(len(f), bool)
-        again[1:] = (f[1:] == f[:-1]) & (g[1:] == g[:-1])
-        repeat = elsewhere(again, doc, at)
-        yield doc[repeat], at[repeat]
-        f, g, doc, at = (x[~again] for x in (f, g, doc, at))
-        for level in self.levels:
-            if not len(f):
+    def ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        own = key[order]
+        rank = np.empty(len(key), np.uint64)
+        rank[order] = np.cumsum(np.append(False, own[1:] != own[:-1])).astype(np.uint64)
+        return rank
+
+    def joined(rank: np.ndarray, by: int) -> np.ndarray:
+        return rank << np.uint64(32) | np.append(rank[by:], np.zeros(min(by, len(rank)), np.uint64))[: len(rank)]
+
+    rank, depth = ranked(words), 8
+    while 2 * depth <= length:
+        rank, depth = ranked(joined(rank, depth)), 2 * depth
+    key = joined(rank, length - depth)[start] if depth < length else rank[start]
+    order = np.argsort(key, kind="stable")
+    return order, np.append(False, key[order][1:] == key[order][:-1])[: len(order)]
+
+
+class Level:
+    """A suffix array: distinct strings in the order of their bytes, by their places in the level's words, and where the earliest of each starts."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int):
+        self.words, self.at, self.doc, self.start, self.length = words, at, doc, start, length
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def compared(self, mine: np.ndarray, other: Level, theirs: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 for each pair of entries: how the string of this level orders against the other's."""
+        out, left = np.zeros(len(mine), np.int8), np.arange(len(mine))
+        p, q = self.at[mine], other.at[theirs]
+        for by in (*range(8, self.length - 8, 8), self.length - 8):
+            x, y = self.words[p[left] + by], other.words[q[left] + by]
+            differ = x != y
+            out[left[differ]] = np.where(x[differ] < y[differ], -1, 1)
+            left = left[~differ]
+            if not len(left):
                 break
-            k = np.minimum(np.searchsorted(level[0], f), len(level[0]) - 1)
-            match = (level[0][k] == f) & (level[1][k] == g)
-            j, m = k[match], np.flatnonzero(match)
-            ld, la = level[2][j], level[3][j]
-            earlier = (doc[m] < ld) | (doc[m] == ld) & (at[m] < la)
-            later = (doc[m] > ld) | (doc[m] == ld) & (at[m] > la)
-            yield doc[m[later]], at[m[later]]
-            yield ld[earlier], la[earlier]
-            level[2][j[earlier]], level[3][j[earlier]] = doc[m[earlier]], at[m[earlier]]
-            f, g, doc, at = (x[~match] for x in (f, g, doc, at))
-        if not len(f):
-            return
-        level = [f, g, doc, at]
-        while self.levels and len(self.levels[-1][0]).bit_length() <= len(level[0]).bit_length():
-            level = self._merged(self.levels.pop(), level)
-        self.levels.append(level)
-
-    @staticmethod
-    def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
-        to = np.searchsorted(a[0], b[0], "right") + np.arange(len(b[0]))
-        free = np.ones(len(a[0]) + len(b[0]), bool)
+        return out
+
+    def search(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """For each string of the other level: how many of this level are smaller, and whether the next one equals it.
+
+        Both are scanned in order by their first eight bytes; among equals of these a binary search goes on.
+        """
+        first, key = self.words[self.at], other.words[other.at]
+        low, high = np.searchsorted(first, key, "left"), np.searchsorted(first, key, "right")
+        found = np.zeros(len(key), bool)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) // 2
+            order = self.compared(middle, other, open_)
+            found[open_[order == 0]] = True
+            low[open_] = np.where(order < 0, middle + 1, np.where(order == 0, middle, low[open_]))
+            high[open_] = np.where(order < 0, high[open_], middle)
+            open_ = open_[low[open_] < high[open_]]
+        return low, found
+
+    def only(self, some: np.ndarray) -> Level:
+        return Level(self.words, self.at[some], self.doc[some], self.start[some], self.length)
+
+    def merged(self, other: Level) -> Level:
+        """Both levels, which have no string in common, in one."""
+        to = self.search(other)[0] + np.arange(len(other))
+        free = np.ones(len(self) + len(other), bool)
         free[to] = False
-        out = []
-        for x, y in zip(a, b):
+
+        def woven(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             z = np.empty(len(free), x.dtype)
             z[to], z[free] = y, x
-            out.append(z)
-        return out
+            return z
+
+        words = np.concatenate([self.words, other.words])
+        return Level(words, woven(self.at, other.at + len(self.words)), woven(self.doc, other.doc), woven(self.start, other.start), self.length)
+
+
+class SuffixFamily:
+    """Suffix arrays in levels of falling size class.  Of equal strings only the earliest is held; every later one is reported by add()."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.levels = length, []
+
+    def add(self, data: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A batch: its bytes, the places of its strings in them, and the document and place that each string comes from."""
+        words = words_at(data)
+        place = np.lexsort((start, doc))
+        at, doc, start = at[place], doc[place], start[place]
+        order, again = suffix_order(words, at, self.length)
+        at, doc, start = at[order], doc[order], start[order]
+        repeat = elsewhere(again, doc, start)
+        yield doc[repeat], start[repeat]
+        new = Level(words, at, doc, start, self.length).only(~again)
+        for level in self.levels:
+            if not len(new):
+                return
+            k, match = level.search(new)
+            j, m = k[match], np.flatnonzero(match)
+            ld, ls, nd, ns = level.doc[j], level.start[j], new.doc[m], new.start[m]
+            later = (nd > ld) | (nd == ld) & (ns > ls)
+            earlier = (nd < ld) | (nd == ld) & (ns < ls)
+            yield nd[later], ns[later]
+            yield ld[earlier], ls[earlier]
+            level.doc[j[earlier]], level.start[j[earlier]] = nd[earlier], ns[earlier]
+            new = new.only(~match)
+        if not len(new):
+            return
+        while self.levels and len(self.levels[-1]).bit_length() <= len(new).bit_length():
+            new = self.levels.pop().merged(new)
+        self.levels.append(new)
 
 
 def _scan(batches, length: int):
     """Open segments with their bytes to the stretches of their repeats."""
     release()
-    family, dups, held, strings = SuffixFamily(), [], [], 0
+    family, dups, held, strings = SuffixFamily(length), [], [], 0
 
     def take():
         data = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
@@ -312,10 +390,9 @@ def _scan(batches, length: int):
         begin = np.cumsum(size) - size
         k = np.repeat(np.arange(len(held)), n)
         inner = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-        start = begin[k] + inner
         doc = np.array([x[0] for x in held], np.int64)[k]
-        at = np.array([x[1] for x in held], np.int64)[k] + inner
-        for d, a in family.add(Rolling(data, 2).of(start, length), Rolling(data, 3).of(start, length), doc, at):
+        start = np.array([x[1] for x in held], np.int64)[k] + inner
+        for d, a in family.add(data, begin[k] + inner, doc, start):
             if len(d):
                 dups.append((d, a))
 
@@ -346,7 +423,10 @@ def _open_bytes(batches, length: int):
             text = text or b""
             for x in spans:
                 if x["end"] + length - 1 <= len(text):
-                    yield x["key"], doc_id, x["start"], text[x["start"] : x["end"] + length - 1]
+                    key, part = x["key"], text[x["start"] : x["end"] + length - 1]
+                    if x["core"] is not None:
+                        key = xxhash.xxh3_64_intdigest(part[x["core"] : x["core"] + length - STEP + 1], key & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                    yield key, doc_id, x["start"], part
 
     yield from batched(rows(), pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())]), lambda r: len(r[3]))
 
@@ -397,12 +477,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    buckets = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * parts
     cut = source.select(F.when(F.col("doc_id") != NONE, F.col("doc_id")), "text").mapInArrow(lambda b: _cut(b, length, buckets), "bucket int, kind int, ids binary, data binary")
     judged = materialize(cut.repartition("bucket").mapInArrow(lambda b: _judge(b, length, hot), JUDGED_SQL), "judged")
-    open_ = judged.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "start", "end")).alias("spans"))
+    open_ = judged.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "start", "end", "core")).alias("spans"))
     strings = source.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(lambda b: _open_bytes(b, length), "key long, doc_id long, start long, segment binary")
-    scanned = strings.repartition("key").select("doc_id", "start", "segment").mapInArrow(lambda b: _scan(b, length), JUDGED_SQL)
+    scanned = strings.repartition(parts, "key").select("doc_id", "start", "segment").mapInArrow(lambda b: _scan(b, length), JUDGED_SQL)
     every = judged.where("anchor is null").unionByName(scanned)
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

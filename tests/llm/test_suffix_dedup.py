@@ -73,14 +73,31 @@ def test_repeated_ids_and_empty(spark):
     assert remove_repeats(df.limit(0), 100).collect() == []
 
 
-def test_levels_stay_few():
-    family, rnd = SuffixFamily(), np.random.default_rng(0)
-    for k in range(64):
-        f = rnd.integers(0, 1 << 62, 500).astype(np.uint64)
-        list(family.add(f, f, np.full(500, k), np.arange(500)))
-        assert len(family.levels) <= 8
-        sizes = [len(x[0]).bit_length() for x in family.levels]
+@pytest.mark.parametrize("length", [33, 40, 64, 100, 129])
+def test_levels_are_few_and_in_the_order_of_bytes(length):
+    family, rnd, held, seen, repeats, want = SuffixFamily(length), random.Random(length), {}, {}, set(), set()
+    stock = [bytes(rnd.choice(b"ab\0\xff") for _ in range(200)) for _ in range(3)]
+    for k in rnd.sample(range(64), 64):
+        own = rnd.choice(stock)
+        at = rnd.randint(0, 40)
+        parts = [own[at : at + length + rnd.randint(0, 30)], bytes(rnd.choice(b"ab") for _ in range(length + rnd.randint(0, 20)))]
+        data, places, start = b"".join(parts), [], []
+        for j, part in enumerate(parts):
+            for x in range(len(part) - length + 1):
+                places.append(x + j * len(parts[0]))
+                start.append(1000 * j + x)
+                string = part[x : x + length]
+                held[k, start[-1]] = string
+                seen.setdefault(string, []).append((k, start[-1]))
+        found = family.add(np.frombuffer(data, np.uint8), np.array(places), np.full(len(places), k), np.array(start))
+        repeats |= {(int(d), int(x)) for ds, xs in found for d, x in zip(ds, xs)}
+        strings = [[held[int(d), int(x)] for d, x in zip(level.doc, level.start)] for level in family.levels]
+        assert all(x == sorted(set(x)) for x in strings)
+        sizes = [len(x).bit_length() for x in family.levels]
         assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+    for places in seen.values():
+        want |= set(places) - {min(places)}
+    assert repeats == want and len(want) > 100
 
 
 def test_contents_are_told_apart_by_the_whole_hash(monkeypatch):
