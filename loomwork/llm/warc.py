@@ -32,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, rows_of, scratch_path, ship
+from .common import batched, materialize, release, rows_of, scratch_path, ship
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of a range that one reader row covers, and of one read.
 RANGE_BYTES, READ_BYTES = 8 << 20, 1 << 18
+TASK_RANGES = 32
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -69,6 +70,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 def _write(folder: str):
     def run(batches):
+        release()
         store, base = fs.FileSystem.from_uri(folder)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         out, size, count = None, 0, 0
@@ -185,6 +187,8 @@ RECORD_SQL = "path string, offset long, record_type string, record_id string, ta
 
 
 def _read(batches):
+    release()
+
     def rows():
         for path, start, end in rows_of(batches):
             for offset, data in records_in(path, start, end):
@@ -202,10 +206,16 @@ def _read(batches):
 
 
 def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All records of the archives in a table of path and bytes (such as a manifest)."""
-    ship(archives.sparkSession)
+    """All records of the archives in a table of path and bytes (such as a manifest).
+
+    The number of tasks is that of the ranges, or for very many of them of TASK_RANGES ranges each.
+    """
+    spark = archives.sparkSession
+    ship(spark)
+    ranges = archives.agg(F.sum(F.expr(f"greatest(bytes, 1L) div {range_bytes} + 1"))).first()[0] or 1
+    tasks = max(min(ranges, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))), ranges // TASK_RANGES)
     ranges = archives.select("path", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes, 1L) - 1, {range_bytes}L)")).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end")).repartition("path", "start")
+    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, "bytes").alias("end")).repartition(tasks)
     return ranges.mapInArrow(_read, RECORD_SQL)
 
 

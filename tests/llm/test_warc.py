@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from loomwork.llm.warc import MAGIC, page_digests, parse, read_archives, record, records_in, write_archives
 
 
@@ -38,6 +40,7 @@ def test_special_cases(spark):
     for size in (300, 5000, 1 << 20):
         records = read_archives(manifest, size)
         assert got(page_digests(records)) == want(rows)
+        assert size > 5000 or records.select(F.spark_partition_id()).distinct().count() > 1
     assert {r["payload"] for r in records.where("record_id = 'urn:page:7'").collect()} == {b"a\r\n\r\nb"}
     assert got(page_digests(read_archives(write_archives(df.limit(0))))) == []
     alone = page_digests(read_archives(write_archives(df, least_bytes=100))).collect()
