@@ -3,8 +3,9 @@
 Each entry of the rank file becomes a piece of byte-mapped characters (one printable character for
 each byte) whose score is its negative rank, so sentencepiece merges the pair of lowest rank first,
 the leftmost on a tie, as the rank file's own library does.  Normalisation is the identity and no
-white space is added, dropped or escaped.  A text is cut into pre-tokens by the pattern; each is
-encoded alone and decoded by the inverse mapping of its ids.
+white space is added, dropped or escaped.  A text is cut into pre-tokens by the pattern; one that is an entry as a
+whole takes its rank, as in the rank file's own library, and each other one is encoded by the model alone.
+Ids are decoded by the inverse mapping of the model's pieces to bytes.
 
 A null or empty text has no ids and decodes to nothing; a null doc_id is passed on; repeated rows
 give repeated results; other columns don't matter.
@@ -92,9 +93,9 @@ class ByteBPE:
         self.ranks = read_ranks(path)
         if sorted(self.ranks.values()) != list(range(len(self.ranks))):
             raise ValueError("ranks must be 0, 1, 2 and so on")
-        self.tokens = [t for t, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
-        self.decimals = [str(k) for k in range(len(self.tokens))]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
+        self.tokens = [unmapped(self.model.id_to_piece(k)) for k in range(len(self.ranks))]
+        self.decimals = [str(k) for k in range(len(self.tokens))]
         self.pre = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.of_pre = ChunkCache(self._pre_tokens, cached)
         self.of_chunk = ChunkCache(self._chunks, cached)

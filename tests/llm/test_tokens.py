@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loomwork.llm.byte_bpe import ByteBPE, encode_documents
+from loomwork.llm.chunks import ChunkCache
 from loomwork.llm.packing import WordTokenizer, pack_documents, plan, slots
 
 ODD = ["", "\x7f", "a\x7fb", " ", "\n\n a\t b  \r\n", "it's we'll I'M 12345 ½ ٣", "naïve façadé é ΑΣ İstanbul ǅ", "日本語テキスト 漢字", "🙂👩‍👩‍👧 ​ x　y\x85z\xa0w", "\x1c\x1da\x1f b\x00c", "<|endoftext|> a<|startoftext|>b", "a" * 5000, "ab" * 3000 + " " * 500 + "é" * 900, "x.y,z;" * 400, "́ ́a"]
@@ -42,6 +43,20 @@ def test_byte_bpe_odd_texts(bpe, own, text):
     assert bpe.decode(ids) == text.encode()
 
 
+def test_pieces_map_back_to_every_entry(bpe, own):
+    assert bpe.tokens == [own.decode_single_token_bytes(k) for k in range(len(bpe.ranks))]
+
+
+def test_caches_are_bounded_by_bytes():
+    made = []
+    cache = ChunkCache(lambda some: (made.extend(some), [c.encode() * 2 for c in some])[1], limit=5000)
+    for k in range(200):
+        words = [f"w{k}", f"v{k}", "often"]
+        assert cache.get(words) == [w.encode() * 2 for w in words]
+        assert cache.bytes <= 5000 and len(cache.known) < 30
+    assert 1 < made.count("often") < 20
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_byte_bpe_any_text(bpe, own, text):
