@@ -78,3 +78,21 @@ def test_null_and_repeated_ids(spark, sf001, monkeypatch):
     left = sorted(len(r["text"]) for r in out)
     assert left[:3] in ([0, 0, 5], [0, 2, 5]) and left[3:] in ([len(a)] * 3, [len(a)] * 2 + [len(a) + 2])
     assert all(r["n_chars"] == len(r["text"]) for r in out)
+
+
+def test_clashing_names_and_empty_tables(spark, sf001):
+    rnd = random.Random(8)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b = prose(60), prose(60)
+    for ids in ((1, 2, 3, 4), (None, 2, 2, 4)):  # unique ids are keys themselves, others are dealt out
+        rows = list(zip(ids, (a, a, a + " more", b), "wxyz", range(4), (7, 7, 8, 9), "stuv", [None] * 4))
+        df = spark.createDataFrame(rows, "doc_id long, text string, _row string, _ROW_ int, rep int, _spans string, spans array<string>")
+        for name, stage in cp.STAGES[:-1]:
+            out = stage(spark, df, sf001)
+            assert out.columns == df.columns
+            got = [tuple(r) for r in out.collect()]
+            assert {r[2:] for r in got} <= {r[2:] for r in rows}, name
+            assert len(got) == {"toxicity": 4, "exact_dedup": 3, "near_dedup": 2, "suffix_dedup": 4}[name]
+    none = df.limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, none, sf001).collect() == [], name
