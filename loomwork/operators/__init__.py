@@ -1,6 +1,7 @@
 """Operator families as functions from DataFrames to DataFrames."""
 
 from loomwork.operators.partitioning import (
+    bucket_of,
     cuts,
     hash_repartition,
     ordered_ranges,
@@ -14,6 +15,6 @@ from loomwork.operators.relational import distinct_on, interleave, join, mark_jo
 from loomwork.operators.windows import groups_frame, parallel_range_window, top_n_per_group
 
 __all__ = [
-    "cuts", "distinct_on", "fixpoint", "groups_frame", "hash_repartition", "interleave", "join", "mark_join", "not_in", "ordered_ranges",
+    "bucket_of",    "cuts", "distinct_on", "fixpoint", "groups_frame", "hash_repartition", "interleave", "join", "mark_join", "not_in", "ordered_ranges",
     "parallel_range_window", "per_partition_filter", "range_filter", "runtime_stats", "top_n_per_group", "unnest", "unordered_ranges",
 ]

@@ -15,11 +15,12 @@ def cuts(df: DataFrame, key: str, parts: int, error: float = 0.001) -> list:
 
 
 def bucket_of(key: Column, at: list) -> Column:
-    """The number of the range that owns the key: [cut k-1, cut k) is k; null is -1."""
-    out = F.lit(0)
-    for c in at:  # as many terms as there are partitions
-        out = out + (key >= F.lit(c)).cast("int")
-    return F.when(key.isNull(), -1).otherwise(out)
+    """The number of the range that owns the key: [cut k-1, cut k) is k; null is -1.  A binary search in the cuts."""
+    if not at:
+        return F.when(key.isNull(), -1).otherwise(0)
+    table, steps = F.array(*map(F.lit, at)), [1 << b for b in reversed(range(len(at).bit_length()))]
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, s: F.when(F.get(table, p + s - 1) <= key, p + s).otherwise(p))
+    return F.when(key.isNull(), -1).otherwise(found)
 
 
 def unordered_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
@@ -47,13 +48,17 @@ def per_partition_filter(df: DataFrame, bucket: Column, predicates: list[Column
 def range_filter(df: DataFrame, key: str, at: list, low_halo, high_halo, bucket: str = "bucket") -> DataFrame:
     """Each row once for every range that has the key within its bounds widened by the halos; null keys in -1."""
     k = F.col(key)
-    edges = [None, *at, None]
-    wanted = [
-        F.when((F.lit(True) if lo is None else k >= F.lit(lo) - low_halo) & (F.lit(True) if hi is None else k < F.lit(hi) + high_halo), F.lit(i))
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:]))
-    ]
-    buckets = F.when(k.isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.array(*wanted), lambda b: b.isNotNull()))
-    return df.withColumn(bucket, F.explode(buckets))
+    return df.withColumn(bucket, F.explode(F.sequence(bucket_of(k - high_halo, at), bucket_of(k + low_halo, at))))
+
+
+#: Columns that with_ranges() adds.
+RANGE, OWN = "_loom_range", "_loom_own"
+
+
+def with_ranges(df: DataFrame, key: str, low_halo, high_halo, parts: int | None = None) -> DataFrame:
+    """Rows by ranges of key, each range with the rows that frames of the given reach need: columns RANGE, and OWN for the row's own range."""
+    at = cuts(df, key, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return range_filter(df, key, at, low_halo, high_halo, RANGE).withColumn(OWN, F.col(RANGE) == bucket_of(F.col(key), at))
 
 
 def runtime_stats(df: DataFrame, key: str, name: str = "stats") -> tuple[DataFrame, Observation]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Callable
 
@@ -16,11 +17,22 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 10_000) -> DataFrame:
-    """seed and all rows that steps from new rows reach; only new rows go into the next step."""
-    found = frontier = _checkpoint(seed.distinct())
+    """seed and all rows that steps from new rows reach; only new rows go into the next step.
+
+    What each step finds is written once and stays apart; parts of the same size class are written together,
+    so a row is written O(log n) times and a step reads O(log n) parts.
+    """
+    frontier = _checkpoint(seed.distinct())
+    parts = [(frontier.count().bit_length(), frontier)]
     for _ in range(most):
-        new = _checkpoint(step(frontier).toDF(*seed.columns).distinct().exceptAll(found).distinct())
-        if new.isEmpty():
+        found = functools.reduce(DataFrame.union, (df for _, df in parts))
+        frontier = _checkpoint(step(frontier).toDF(*seed.columns).subtract(found))
+        n = frontier.count()
+        if not n:
             return found
-        found, frontier = _checkpoint(found.union(new)), new
+        new = frontier
+        while parts and parts[-1][0] <= n.bit_length():
+            new = _checkpoint(parts.pop()[1].union(new))
+            n = new.count()
+        parts.append((n.bit_length(), new))
     raise RuntimeError(f"no end after {most} steps")

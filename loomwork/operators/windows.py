@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from loomwork.operators.partitioning import bucket_of, cuts, range_filter
+from loomwork.operators.partitioning import OWN, RANGE, with_ranges
 
 
 def parallel_range_window(df: DataFrame, key: str, preceding: float, following: float, aggregate: Callable[[WindowSpec], Column], name: str, parts: int | None = None, nulls_last: bool = True) -> DataFrame:
@@ -17,13 +17,10 @@ def parallel_range_window(df: DataFrame, key: str, preceding: float, following:
     range is a window partition of its own and returns only the rows it owns.  Null keys are peers of
     each other only and form one range.  Plain Spark runs such a frame in a single task.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = cuts(df, key, parts)
-    spread = range_filter(df, key, at, preceding, following, "_range")
     order = F.col(key).asc_nulls_last() if nulls_last else F.col(key).asc_nulls_first()
-    window = Window.partitionBy("_range").orderBy(order).rangeBetween(-preceding, following)
-    # the value that the owner computes is the only one kept; the row number of the source keeps copies apart by construction
-    return spread.withColumn(name, aggregate(window)).where(F.col("_range") == bucket_of(F.col(key), at)).drop("_range")
+    window = Window.partitionBy(RANGE).orderBy(order).rangeBetween(-preceding, following)
+    # the value that the owner computes is the only one kept
+    return with_ranges(df, key, preceding, following, parts).withColumn(name, aggregate(window)).where(OWN).drop(RANGE, OWN)
 
 
 def groups_frame(df: DataFrame, partition_by: list[str], order_by: list[Column], start: int, end: int, aggregate: Callable[[WindowSpec], Column], name: str) -> DataFrame:

@@ -10,8 +10,9 @@ KINDS = {"indent": "extended", "tree": "formatted", "formatted": "formatted", "s
 def text(df: DataFrame, kind: str = "formatted") -> str:
     if kind == "graphviz":
         return graphviz(df)
-    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(KINDS.get(kind, "formatted"))
-    return df._jdf.queryExecution().explainString(mode)
+    if kind not in KINDS:
+        raise ValueError(f"no explain format {kind}")
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), KINDS[kind])
 
 
 def _final(node):

@@ -121,22 +121,23 @@ sql_query("expr_null_tests", "SELECT count(*) AS n FROM nation WHERE nullif(n_re
 sql_query("expr_between_in", "SELECT count(*) AS n FROM part WHERE p_size BETWEEN 5 AND 20 AND p_size NOT BETWEEN 10 AND 12 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') AND p_size NOT IN (6, 7)")
 sql_query("expr_like", "SELECT p_partkey, p_name LIKE '%a_e%' AS a, p_name ILIKE '%A%' AS b, p_type NOT LIKE 'PROMO%' AS c, '10%' LIKE '10!%' ESCAPE '!' AS d FROM part")
 sql_query("expr_similar", "SELECT p_partkey, p_brand SIMILAR TO 'Brand#(1|2)%' AS s FROM part", "SELECT p_partkey, regexp_full_match(p_brand, 'Brand#(1|2).*') AS s FROM part")
-sql_query("expr_case", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS a, CASE WHEN o_totalprice > 1000 THEN 'big' WHEN o_totalprice > 10 THEN 'mid' END AS b FROM orders")
+sql_query("expr_case", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS a, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' END AS b FROM orders")
 sql_query("expr_cast", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS a, CAST(l_linenumber AS STRING) AS b, TRY_CAST(l_returnflag AS INT) AS c, CAST(l_shipdate AS DATE) AS d FROM lineitem",
           "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INT) AS a, CAST(l_linenumber AS VARCHAR) AS b, TRY_CAST(l_returnflag AS INT) AS c, CAST(l_shipdate AS DATE) AS d FROM lineitem")
 sql_query("expr_struct_list", "SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey).b AS b, element_at(array(n_nationkey, 7, 9), 2) AS l, array_join(slice(array('x', 'y', n_name), 2, 2), '/') AS s FROM nation",
           "SELECT n_nationkey, n_regionkey AS b, 7 AS l, 'y/' || n_name AS s FROM nation")
 sql_query("subquery_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
-sql_query("subquery_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 1000)")
+sql_query("subquery_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 sql_query("subquery_exists_or", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') OR c_acctbal > 9000")
 sql_query("subquery_not_in_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 2) FROM region)")
 sql_query("subquery_not_in", "SELECT n_nationkey FROM nation WHERE nullif(n_nationkey, 9) NOT IN (SELECT r_regionkey FROM region)")
 sql_query("subquery_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders p WHERE p.o_custkey = o.o_custkey)")
 
 
-@frame_query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)")
+@frame_query("SELECT o_orderkey FROM orders WHERE nullif(o_orderkey, 8) NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
 def not_in_large(spark, t):
-    return ops.not_in(t("nation"), "n_nationkey", t("region"), "r_regionkey").select("n_nationkey")
+    orders = t("orders").select("o_orderkey", F.expr("nullif(o_orderkey, 8)").alias("k"))
+    return ops.not_in(orders, "k", t("lineitem").where("l_quantity > 40"), "l_orderkey").select("o_orderkey")
 
 
 @frame_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE CASE l_linenumber % 3 WHEN 0 THEN l_quantity > 10 WHEN 1 THEN l_quantity < 20 ELSE l_returnflag = 'R' END")
@@ -152,13 +153,13 @@ def range_filter(spark, t):
 
 # ---------------------------------------------------------------- joins
 
-PAIRS = "FROM customer {} orders ON c_custkey = o_custkey AND o_totalprice > 2000"
+PAIRS = "FROM customer {} orders ON c_custkey = o_custkey AND o_totalprice > 350000"
 for kind in ("INNER", "LEFT", "RIGHT", "FULL"):
     sql_query(f"join_{kind.lower()}", f"SELECT c_custkey, o_orderkey {PAIRS.format(kind + ' JOIN')}")
-sql_query("join_left_semi", f"SELECT c_custkey {PAIRS.format('LEFT SEMI JOIN')}", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 2000)")
-sql_query("join_left_anti", f"SELECT c_custkey {PAIRS.format('LEFT ANTI JOIN')}", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 2000)")
-sql_query("join_right_semi", "SELECT c_custkey FROM orders RIGHT SEMI JOIN customer ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)")
-sql_query("join_right_anti", "SELECT c_custkey FROM orders RIGHT ANTI JOIN customer ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)")
+sql_query("join_left_semi", f"SELECT c_custkey {PAIRS.format('LEFT SEMI JOIN')}", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 350000)")
+sql_query("join_left_anti", f"SELECT c_custkey {PAIRS.format('LEFT ANTI JOIN')}", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 350000)")
+sql_query("join_right_semi", "SELECT c_custkey FROM orders RIGHT SEMI JOIN customer ON c_custkey = o_custkey AND o_totalprice > 400000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 400000)")
+sql_query("join_right_anti", "SELECT c_custkey FROM orders RIGHT ANTI JOIN customer ON c_custkey = o_custkey AND o_totalprice > 350000", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 350000)")
 sql_query("join_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey + b.n_regionkey > 5")
 sql_query("join_cross", "SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region")
 sql_query("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND n_nationkey < 20")
@@ -186,15 +187,16 @@ sql_query("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAS
 sql_query("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
 sql_query("agg_distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 sql_query("agg_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS a, count(DISTINCT o_orderpriority) AS b, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS c FROM orders GROUP BY o_orderstatus")
-sql_query("agg_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 1000) AS a, round(sum(o_totalprice) FILTER (WHERE o_custkey % 2 = 0), 2) AS b FROM orders GROUP BY o_orderstatus")
+sql_query("agg_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 250000) AS a, round(sum(o_totalprice) FILTER (WHERE o_custkey % 2 = 0), 2) AS b FROM orders GROUP BY o_orderstatus")
 sql_query("agg_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC NULLS LAST, o_orderkey")
 sql_query("agg_top_groups", "SELECT o_custkey, max(o_orderkey) AS m FROM orders GROUP BY o_custkey ORDER BY m DESC NULLS LAST LIMIT 10")
 sql_query("agg_ungrouped_empty", "SELECT count(*) AS n, max(o_custkey) AS m FROM orders WHERE o_custkey < 0")
 sql_query("agg_statistics", "SELECT round(var(l_quantity), 6) AS a, round(var_pop(l_quantity), 6) AS b, round(stddev(l_quantity), 6) AS c, round(stddev_pop(l_quantity), 6) AS d, round(covar(l_quantity, l_discount), 6) AS e, round(corr(l_quantity, l_extendedprice), 6) AS f, round(covar_pop(l_quantity, l_tax), 6) AS g FROM lineitem",
           "SELECT round(var_samp(l_quantity), 6) AS a, round(var_pop(l_quantity), 6) AS b, round(stddev(l_quantity), 6) AS c, round(stddev_pop(l_quantity), 6) AS d, round(covar_samp(l_quantity, l_discount), 6) AS e, round(corr(l_quantity, l_extendedprice), 6) AS f, round(covar_pop(l_quantity, l_tax), 6) AS g FROM lineitem")
-sql_query("agg_percentile", "SELECT l_returnflag, round(approx_percentile_cont(l_extendedprice, 0.3), 4) AS a, round(median(l_extendedprice), 4) AS b, round(approx_percentile_cont_with_weight(l_extendedprice, l_linenumber, 0.5), 2) > 0 AS c FROM lineitem GROUP BY l_returnflag",
-          "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.3), 4) AS a, round(median(l_extendedprice), 4) AS b, true AS c FROM lineitem GROUP BY l_returnflag")
-sql_query("agg_approx_distinct", "SELECT abs(approx_distinct(o_custkey) - count(DISTINCT o_custkey)) < 0.1 * count(DISTINCT o_custkey) AS close FROM orders", "SELECT true AS close")
+sql_query("agg_percentile", "SELECT l_returnflag, round(approx_percentile_cont(l_extendedprice, 0.3), 4) AS a, round(median(l_extendedprice), 4) AS b, round(approx_percentile_cont_with_weight(l_extendedprice, l_linenumber, 0.5), 4) AS c, round(approx_percentile_cont(0.9) WITHIN GROUP (ORDER BY l_quantity), 4) AS d FROM lineitem GROUP BY l_returnflag",
+          "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.3), 4) AS a, round(median(l_extendedprice), 4) AS b, (SELECT round(quantile_cont(w.l_extendedprice, 0.5), 4) FROM lineitem w, range(w.l_linenumber) WHERE w.l_returnflag = lineitem.l_returnflag) AS c, round(quantile_cont(l_quantity, 0.9), 4) AS d FROM lineitem GROUP BY l_returnflag")
+sql_query("agg_approx_distinct", "SELECT o_orderstatus, approx_distinct(o_orderpriority) AS few, abs(approx_distinct(o_custkey) - count(DISTINCT o_custkey)) < 0.1 * count(DISTINCT o_custkey) AS close, count(DISTINCT o_custkey) AS exact FROM orders GROUP BY o_orderstatus",
+          "SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS few, true AS close, count(DISTINCT o_custkey) AS exact FROM orders GROUP BY o_orderstatus")
 sql_query("agg_array", "SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), ',') AS a, size(array_agg_all(nullif(n_nationkey, 3))) AS n FROM nation GROUP BY n_regionkey",
           "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS a, CAST(count(*) AS INTEGER) AS n FROM nation GROUP BY n_regionkey")
 sql_query("agg_string", "SELECT n_regionkey, string_agg(n_name, '|') WITHIN GROUP (ORDER BY n_name) AS a FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS a FROM nation GROUP BY n_regionkey")
@@ -251,9 +253,12 @@ def ordered_range_repartition(spark, t):
     return by.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("ok").alias("rising"))
 
 
-@frame_query("SELECT count(*) AS n FROM orders")
+@frame_query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, true AS apart, 5 AS parts FROM orders")
 def unordered_range_repartition(spark, t):
-    return ops.unordered_ranges(t("orders"), "o_custkey", 5).agg(F.count("*").alias("n"))
+    df = ops.unordered_ranges(t("orders"), "o_custkey", 5)
+    by = df.groupBy(F.spark_partition_id().alias("p")).agg(F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi"), F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+    by = by.withColumn("apart", F.coalesce(F.col("lo") > F.lag("hi").over(Window.orderBy("lo")), F.lit(True)))  # a row for each partition
+    return by.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("apart").alias("apart"), F.count("*").cast("int").alias("parts"))
 
 
 @frame_query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
@@ -271,7 +276,7 @@ def runtime_stats(spark, t):
 
 # ---------------------------------------------------------------- sets, nesting, recursion
 
-A, B = "SELECT o_custkey AS k FROM orders WHERE o_custkey < 60", "SELECT c_custkey AS k FROM customer WHERE c_custkey > 40"
+A, B = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 2000"
 for name, word in {"union_all": "UNION ALL", "union": "UNION", "intersect": "INTERSECT", "except": "EXCEPT", "intersect_all": "INTERSECT ALL", "except_all": "EXCEPT ALL"}.items():
     sql_query(f"set_{name}", f"{A} {word} {B}")
 sql_query("unnest_list", "SELECT n_nationkey, unnest(make_array(n_nationkey, n_regionkey, 7)) AS u FROM nation", "SELECT n_nationkey, unnest([n_nationkey, n_regionkey, 7]) AS u FROM nation")
@@ -321,10 +326,10 @@ sql_query("fn_conditional", "SELECT n_nationkey, nullif(n_regionkey, 1) AS a, co
           "SELECT n_nationkey, nullif(n_regionkey, 1) AS a, coalesce(nullif(n_regionkey, 1), -1) AS b, greatest(n_nationkey, n_regionkey, 3) AS c, least(n_nationkey, n_regionkey, 3) AS d, CASE WHEN n_regionkey <> 1 THEN 'y' ELSE 'n' END AS e FROM nation")
 sql_query("fn_datetime", """
     SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS INT) AS a, CAST(extract(MONTH FROM o_orderdate) AS INT) AS b, CAST(date_part('DAY', o_orderdate) AS INT) AS c, CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS d,
-           CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS e, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS STRING) IS NOT NULL AS f, make_date(1994, 2, 3) AS g, datediff(CAST(o_orderdate AS DATE), DATE '1992-01-01') AS h,
+           CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS e, CAST(extract(DAY FROM CAST(o_orderdate AS DATE) - DATE '1992-01-01') AS BIGINT) AS f, make_date(1994, 2, 3) AS g, datediff(CAST(o_orderdate AS DATE), DATE '1992-01-01') AS h,
            CAST(date_bin(INTERVAL '15' MINUTE, o_orderdate) AS TIMESTAMP_NTZ) AS i FROM orders""", """
     SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS INT) AS a, CAST(extract(MONTH FROM o_orderdate) AS INT) AS b, CAST(date_part('DAY', o_orderdate) AS INT) AS c, CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS d,
-           CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS e, true AS f, make_date(1994, 2, 3) AS g, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INT) AS h,
+           CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS e, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS BIGINT) AS f, make_date(1994, 2, 3) AS g, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INT) AS h,
            time_bucket(INTERVAL '15 minutes', o_orderdate, TIMESTAMP '1970-01-01 00:00:00') AS i FROM orders""")
 sql_query("fn_array", """
     WITH t AS (SELECT n_nationkey AS k, make_array(n_nationkey, n_regionkey, 3) AS x, make_array(1, 2, 3) AS y FROM nation)
@@ -339,7 +344,7 @@ sql_query("fn_array", """
            coalesce(array_to_string(list_sort(list_filter(y, lambda e: NOT list_contains(x, e))), ','), '') AS s, array_to_string(list_sort(list_filter(y, lambda e: list_contains(x, e))), ',') AS u, coalesce(array_to_string(list_filter(x, lambda e: e <> 3), ','), '') AS v FROM t""")
 sql_query("fn_map_struct", "SELECT n_nationkey, map_extract(map('a', n_name, 'b', 'x'), 'a') AS a, size(map_keys(map('a', 1, 'b', 2))) AS b, get_field(named_struct('p', n_regionkey, 'q', 1), 'p') AS c FROM nation",
           "SELECT n_nationkey, n_name AS a, 2 AS b, n_regionkey AS c FROM nation")
-sql_query("fn_json", "SELECT event_id, get_json_object(props, '$.nothing') IS NULL AS a FROM events", "SELECT event_id, true AS a FROM events")
+sql_query("fn_json", "SELECT event_id, get_json_object(props, '$.nothing') IS NULL AS a, get_json_object(props, '$.k') AS b, CAST(from_json(props, 'k INT').k AS INT) AS c FROM events", "SELECT event_id, json_extract(props, '$.nothing') IS NULL AS a, json_extract_string(props, '$.k') AS b, CAST(json_extract(props, '$.k') AS INT) AS c FROM events")
 sql_query("fn_integer_division", "SELECT l_orderkey, l_linenumber, div_trunc(l_orderkey, l_linenumber - 3) AS a FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey // nullif(l_linenumber - 3, 0) AS a FROM lineitem WHERE l_linenumber >= 3 UNION ALL SELECT l_orderkey, l_linenumber, -(l_orderkey // (3 - l_linenumber)) AS a FROM lineitem WHERE l_linenumber < 3")
 
 
@@ -408,3 +413,47 @@ def scan_arrow(spark, t):
     with store.open_output_stream(where) as f, pa.ipc.new_file(f, data.schema) as w:
         w.write_table(data)
     return sources.read(spark, "arrow", path)
+
+# ---------------------------------------------------------------- forms that scale where the plain plan does not, and ordered aggregates
+
+sql_query("agg_ordered", "SELECT o_custkey, array_join(array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey), ',') AS a, first_value(o_orderkey ORDER BY o_totalprice, o_orderkey) AS f, last_value(o_orderkey ORDER BY o_totalprice, o_orderkey) AS l FROM orders GROUP BY o_custkey",
+          "SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_totalprice DESC, o_orderkey) AS a, first(o_orderkey ORDER BY o_totalprice, o_orderkey) AS f, last(o_orderkey ORDER BY o_totalprice, o_orderkey) AS l FROM orders GROUP BY o_custkey")
+sql_query("agg_array_with_nulls", "SELECT o_orderstatus, array_length(array_agg(nullif(o_orderpriority, '1-URGENT'))) AS n, array_length(array_agg(o_orderkey) FILTER (WHERE o_totalprice > 300000)) AS m FROM orders GROUP BY o_orderstatus",
+          "SELECT o_orderstatus, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE o_totalprice > 300000) AS INTEGER) AS m FROM orders GROUP BY o_orderstatus")
+sql_query("distinct_on_limit", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_totalprice, o_orderkey LIMIT 20")
+sql_query("qualify_with_cte", "WITH c AS (SELECT o_custkey, o_orderkey, extract(YEAR FROM o_orderdate) AS y, o_totalprice FROM orders) SELECT o_custkey, CAST(y AS INT) AS y, o_orderkey FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey, y ORDER BY o_totalprice, o_orderkey) = 1")
+sql_query("subquery_not_in_orders", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_orderstatus = 'F'")
+sql_query("window_range_of_sql", "SELECT o_orderkey, count(*) OVER (ORDER BY o_totalprice RANGE BETWEEN 1500 PRECEDING AND 500 FOLLOWING) AS n, max(o_custkey) OVER (ORDER BY o_totalprice RANGE BETWEEN 1500 PRECEDING AND 500 FOLLOWING) AS m FROM orders")
+sql_query("similar_to_column", "SELECT p_partkey, p_type SIMILAR TO (concat(substr(p_type, 1, 3), '%')) AS s, p_name SIMILAR TO p_brand AS t FROM part", "SELECT p_partkey, true AS s, p_name = p_brand AS t FROM part")
+sql_query("fn_regexp_match", "SELECT p_partkey, regexp_match(p_brand, '#([0-9])([0-9])')[0] AS a, regexp_match(p_brand, '#([0-9])([0-9])')[1] AS b, regexp_match(p_type, 'Q+X') IS NULL AS c FROM part",
+          "SELECT p_partkey, nullif(regexp_extract(p_brand, '#([0-9])([0-9])', 1), '') AS a, nullif(regexp_extract(p_brand, '#([0-9])([0-9])', 2), '') AS b, NOT regexp_matches(p_type, 'Q+X') AS c FROM part")
+sql_query("fn_trunc_char", "SELECT o_orderkey, trunc(o_totalprice) AS a, round(trunc(o_totalprice / 7, 1), 1) AS b, to_char(o_orderdate, '%Y-%m/%d') AS c FROM orders",
+          "SELECT o_orderkey, trunc(o_totalprice) AS a, round(trunc(o_totalprice / 7 * 10) / 10, 1) AS b, strftime(o_orderdate, '%Y-%m/%d') AS c FROM orders")
+
+# shapes of decision-support queries: rollups with ranks, chains of set operators, windows over aggregates over joins
+
+sql_query("ds_rollup_rank", """
+    SELECT n_name, o_orderpriority, round(sum(o_totalprice), 2) AS total, CAST(grouping(n_name) + grouping(o_orderpriority) AS INT) AS lochierarchy,
+           CAST(rank() OVER (PARTITION BY grouping(n_name) + grouping(o_orderpriority), CASE WHEN grouping(o_orderpriority) = 0 THEN n_name END ORDER BY round(sum(o_totalprice), 2) DESC) AS BIGINT) AS within_parent
+    FROM orders, customer, nation WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey
+    GROUP BY ROLLUP (n_name, o_orderpriority)""")
+sql_query("ds_intersect_chain", """
+    SELECT count(*) AS n FROM (
+      SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'
+      INTERSECT SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'
+      EXCEPT SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 450000) AS both_states""")
+sql_query("ds_share_of_class", """
+    SELECT p_brand, l_returnflag, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice) * 100 / sum(sum(l_extendedprice)) OVER (PARTITION BY p_brand), 6) AS share
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+    WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1998-12-31 00:00:00' GROUP BY p_brand, l_returnflag""")
+sql_query("ds_above_average", """
+    WITH spent AS (SELECT o_custkey AS k, c_nationkey AS nation, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' GROUP BY o_custkey, c_nationkey)
+    SELECT k, round(total, 2) AS total FROM spent a WHERE total > (SELECT avg(total) * 1.2 FROM spent b WHERE a.nation = b.nation) ORDER BY total DESC, k LIMIT 100""")
+sql_query("ds_year_over_year", """
+    WITH y AS (SELECT c_mktsegment, extract(YEAR FROM o_orderdate) AS year, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, extract(YEAR FROM o_orderdate))
+    SELECT a.c_mktsegment, CAST(a.year AS INT) AS year, round(a.total / b.total, 6) AS ratio FROM y a JOIN y b ON a.c_mktsegment = b.c_mktsegment AND a.year = b.year + 1""")
+sql_query("ds_pivoted_counts", """
+    SELECT l_linestatus, sum(CASE WHEN d < 30 THEN 1 ELSE 0 END) AS days30, sum(CASE WHEN d >= 30 AND d < 60 THEN 1 ELSE 0 END) AS days60, sum(CASE WHEN d >= 60 THEN 1 ELSE 0 END) AS more
+    FROM (SELECT l_linestatus, datediff(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY l_linestatus""", """
+    SELECT l_linestatus, CAST(sum(CASE WHEN d < 30 THEN 1 ELSE 0 END) AS BIGINT) AS days30, CAST(sum(CASE WHEN d >= 30 AND d < 60 THEN 1 ELSE 0 END) AS BIGINT) AS days60, CAST(sum(CASE WHEN d >= 60 THEN 1 ELSE 0 END) AS BIGINT) AS more
+    FROM (SELECT l_linestatus, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY l_linestatus""")

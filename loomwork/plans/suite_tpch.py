@@ -36,7 +36,7 @@ sql_query("tpch_q3", f"""
 
 sql_query("tpch_q4", """
     SELECT o_orderpriority, count(*) AS order_count FROM orders
-    WHERE o_orderdate >= TIMESTAMP '1993-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1993-07-01 00:00:00' + INTERVAL '3' MONTH
+    WHERE o_orderdate >= TIMESTAMP '1996-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-07-01 00:00:00' + INTERVAL '3' MONTH
       AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate)
     GROUP BY o_orderpriority ORDER BY o_orderpriority""")
 
@@ -45,12 +45,12 @@ sql_query("tpch_q5", f"""
     FROM customer, orders, lineitem, supplier, nation, region
     WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey
       AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA'
-      AND o_orderdate >= TIMESTAMP '1994-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1995-01-01 00:00:00'
+      AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'
     GROUP BY n_name ORDER BY revenue DESC NULLS LAST, n_name""")
 
 sql_query("tpch_q6", """
     SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
-    WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00'
+    WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00'
       AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
 
 sql_query("tpch_q7", f"""
@@ -80,8 +80,8 @@ sql_query("tpch_q9", f"""
 sql_query("tpch_q10", f"""
     SELECT c_custkey, c_name, round(sum({REVENUE}), 4) AS revenue, c_acctbal, n_name
     FROM customer, orders, lineitem, nation
-    WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP '1993-10-01 00:00:00'
-      AND o_orderdate < TIMESTAMP '1994-01-01 00:00:00' AND l_returnflag = 'R' AND c_nationkey = n_nationkey
+    WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP '1996-10-01 00:00:00'
+      AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' AND l_returnflag = 'R' AND c_nationkey = n_nationkey
     GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC NULLS LAST, c_custkey LIMIT 20""")
 
 sql_query("tpch_q11", """
@@ -96,7 +96,7 @@ sql_query("tpch_q12", """
     SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count,
            CAST(sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count
     FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_returnflag IN ('A', 'R') AND o_orderdate < l_shipdate
-      AND l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00'
+      AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00'
     GROUP BY l_linestatus ORDER BY l_linestatus""")
 
 sql_query("tpch_q13", """
@@ -155,5 +155,5 @@ sql_query("tpch_q22", """
     SELECT cntrycode, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM (
       SELECT substring(c_name FROM 10 FOR 2) AS cntrycode, c_acctbal FROM customer
       WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.00)
-        AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey)) AS custsale
+        AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)) AS custsale
     GROUP BY cntrycode ORDER BY cntrycode""")

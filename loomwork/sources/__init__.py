@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from typing import Any
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -45,12 +47,6 @@ def _string():
     return StringType()
 
 
-def read_nanos(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet with nanosecond timestamps, which become long nanoseconds columns and then microsecond timestamps."""
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    return spark.read.parquet(path)
-
-
 def write(df: DataFrame, kind: str, path: str, partition_by: list[str] = (), mode: str = "errorifexists", single_file: bool | None = None, **options: Any) -> None:
     """A directory of files, or one file where the path ends in the format's name and single_file isn't False."""
     kind = kind.lower()
@@ -63,19 +59,19 @@ def write(df: DataFrame, kind: str, path: str, partition_by: list[str] = (), mod
         writer = df.write.mode(mode).options(**options)
         (writer.partitionBy(*partition_by) if partition_by else writer).format(kind).save(path)
         return
-    spark, folder = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
-    df.coalesce(1).write.options(**options).format(kind).save(folder)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    target = hadoop(path)
-    if fs.exists(target):
-        if mode == "errorifexists":
-            fs.delete(hadoop(folder), True)
-            raise FileExistsError(path)
-        fs.delete(target, True)
-    part = next(f.getPath() for f in fs.globStatus(hadoop(f"{folder}/part-*")))
-    fs.rename(part, target)
-    fs.delete(hadoop(folder), True)
+    store, target = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+    there = store.get_file_info(target).type
+    if there != fs.FileType.NotFound and mode == "errorifexists":
+        raise FileExistsError(path)
+    folder = f".{uuid.uuid4().hex}.tmp"
+    df.coalesce(1).write.options(**options).format(kind).save(path + folder)
+    part = next(f.path for f in store.get_file_info(fs.FileSelector(target + folder)) if f.base_name.startswith("part-"))
+    if there == fs.FileType.Directory:
+        store.delete_dir(target)
+    elif there == fs.FileType.File:
+        store.delete_file(target)
+    store.move(part, target)
+    store.delete_dir(target + folder)
 
 
 def series(spark: SparkSession, start: Any, end: Any, step: Any = 1, inclusive: bool = True, name: str = "value") -> DataFrame:
