@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNK, SPACE, ChunkCache, spans
-from .common import batched, kept, rows_of, ship
+from .common import batched, kept, rows_of, ship, spread
 
 
 def byte_chars() -> list[str]:
@@ -156,4 +156,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, full: bool = Fals
     """full: doc_id, ids, decoded (bytes); else the digest doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_run(path, pattern, full), "doc_id long, ids array<int>, decoded binary" if full else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(source).mapInArrow(_run(path, pattern, full), "doc_id long, ids array<int>, decoded binary" if full else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

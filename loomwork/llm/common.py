@@ -14,9 +14,12 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.operators.relational import estimated_bytes
+
 #: Bytes of values that one Arrow batch sent back to Spark holds at most, but for a single larger row.
 BATCH_BYTES = 4 << 20
-#: Bytes of an Arrow batch that Spark sends to a Python worker, where the session doesn't say otherwise.
+#: Bytes for each core under which a table is dealt out before it is worked on.  Bytes of an Arrow batch that Spark sends to a Python worker, where the session doesn't say otherwise.
+SPREAD_BYTES = 4 << 20
 SENT_BYTES, SENT_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -107,6 +110,15 @@ def release() -> None:
         trim(0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it is so small that a scan may give it to fewer tasks: a table of one file can be one row group.
+
+    Only tables of under SPREAD_BYTES for each core are moved; the rows are the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < cores * SPREAD_BYTES else df
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples of Python values, a small slice at a time."""
     for batch in batches:

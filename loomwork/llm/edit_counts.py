@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE, tokenizer
 from .chunks import CHUNK, SPACE, spans
-from .common import batched, rows_of, ship
+from .common import batched, rows_of, ship, spread
 
 LEAF = 32
 #: Characters of a leaf above which it is cut.
@@ -188,4 +188,4 @@ def edited_counts(docs: DataFrame, path: str, pattern: str, edits_col: str | Non
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     if edits_col:
         columns.append(F.col(edits_col).cast("array<struct<start:bigint,end:bigint,text:string>>").alias("edits"))
-    return docs.select(*columns).mapInArrow(_run(path, pattern, bool(edits_col)), COUNTED_SQL)
+    return spread(docs.select(*columns)).mapInArrow(_run(path, pattern, bool(edits_col)), COUNTED_SQL)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batched, materialize, release, rows_of, ship
+from .common import batched, materialize, release, rows_of, ship, spread
 
 HEAD = struct.Struct("<QqqqII")
 #: Bytes of distinct contents that one table holds before the rest goes to spill files.
@@ -218,7 +218,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("content"))
-    folded = materialize(source.mapInArrow(_fold(table_bytes, key), FOLDED_SQL), "grace")
+    folded = materialize(spread(source).mapInArrow(_fold(table_bytes, key), FOLDED_SQL), "grace")
     merged = (
         folded.where("n is not null").select("doc_id", "place", "rep", "h", "n", "content").repartition("h")
         .mapInArrow(_merge(table_bytes), "rep long, keep_id long, group_size long, keep_place long")
@@ -270,5 +270,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     columns = [c.lower() for c in docs.columns]
     places = columns.index(id_col.lower()), columns.index(text_col.lower())
-    found = docs.mapInArrow(_candidates(table_bytes, key, *places), "h long, top long, place long, content binary, row binary")
+    found = spread(docs).mapInArrow(_candidates(table_bytes, key, *places), "h long, top long, place long, content binary, row binary")
     return found.repartition("h").mapInArrow(_winners(table_bytes, to_arrow_schema(docs.schema)), docs.schema)

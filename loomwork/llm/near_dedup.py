@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, drop_scratch, materialize, release, rows_of, ship
+from .common import batched, drop_scratch, materialize, release, rows_of, ship, spread
 from .components import components
 from .rolling import mix
 from .shingles import overlap, shingle_sets
@@ -225,7 +225,7 @@ def near_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id
     # a given number of partitions, which isn't lowered where few bytes make much work
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sig = materialize(source.mapInArrow(lambda b: _signatures(b, width), "doc_id long, n long, set_key binary, sketch binary"), "signatures")
+    sig = materialize(spread(source).mapInArrow(lambda b: _signatures(b, width), "doc_id long, n long, set_key binary, sketch binary"), "signatures")
     filled = sig.where("n > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 

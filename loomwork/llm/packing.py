@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import mapped
 from .chunks import WORD, ChunkCache, spans
-from .common import batched, kept, materialize, rows_of, ship
+from .common import batched, kept, materialize, rows_of, ship, spread
 
 
 # ---------------------------------------------------------------- tokens
@@ -223,7 +223,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, id_col: str
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(source.mapInArrow(_pieces(path, capacity), PIECE_SQL), "pieces")
+    pieces = materialize(spread(source).mapInArrow(_pieces(path, capacity), PIECE_SQL), "pieces")
     by_part = pieces.groupBy("length", "part").count()
     counts = np.zeros(capacity + 1, np.int64)
     for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most capacity rows

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, release, rows_of, ship
+from .common import batched, materialize, release, rows_of, ship, spread
 from .rolling import Rolling, mix, sliding_min
 
 NONE = -(1 << 63)
@@ -479,7 +479,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 8 * parts
-    cut = source.select(F.when(F.col("doc_id") != NONE, F.col("doc_id")), "text").mapInArrow(lambda b: _cut(b, length, buckets), "bucket int, kind int, ids binary, data binary")
+    cut = spread(source.select(F.when(F.col("doc_id") != NONE, F.col("doc_id")), "text")).mapInArrow(lambda b: _cut(b, length, buckets), "bucket int, kind int, ids binary, data binary")
     judged = materialize(cut.repartition("bucket").mapInArrow(lambda b: _judge(b, length, hot), JUDGED_SQL), "judged")
     open_ = judged.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("anchor").alias("key"), "start", "end", "core")).alias("spans"))
     strings = source.join(open_, "doc_id").select("doc_id", "text", "spans").mapInArrow(lambda b: _open_bytes(b, length), "key long, doc_id long, start long, segment binary")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, kept, rows_of, ship
+from .common import batched, kept, rows_of, ship, spread
 from .rolling import mix
 
 #: Labelled documents of each class that training reads at most.
@@ -326,4 +326,4 @@ def score_documents(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(f"coalesce({REMAINDER} = 0, true)").alias("held_out"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    return spread(source).mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, release, rows_of, scratch_path, ship
+from .common import batched, materialize, release, rows_of, scratch_path, ship, spread
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")
     ).withColumn("key", F.sha2("payload", 256))
     first = source.where(F.length("payload") >= least_bytes).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    joined = source.join(materialize(first, "payloads"), "key", "left")
+    joined = spread(source).join(materialize(first, "payloads"), "key", "left")
     joined = joined.select("page_id", "url", "payload", F.expr("case when not (page_id <=> first) then first end").alias("refers_to"))
     return materialize(joined.mapInArrow(_write(folder), "path string, bytes long, records long"), "manifest")
 
