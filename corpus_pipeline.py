@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from loomwork.llm.common import materialize, release, ship, table
+from loomwork.llm.common import materialize, release, ship, spread, table
 from loomwork.llm.exact_dedup import deduplicate
 from loomwork.llm.near_dedup import near_classes
 from loomwork.llm.packing import pack_documents
@@ -64,7 +64,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the model predicts as toxic."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     ship(spark)
-    return docs.mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
+    return spread(docs).mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

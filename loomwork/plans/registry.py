@@ -11,6 +11,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Queries in this engine's dialect.
+TEXTS: dict[str, str] = {}
 
 
 def views(spark: SparkSession, sf_dir: str, text: str) -> None:
@@ -30,7 +32,7 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
         return Loom(spark).sql(text)
 
     run.__name__ = name
-    QUERIES[name], SQL[name] = run, oracle or text
+    QUERIES[name], SQL[name], TEXTS[name] = run, oracle or text, text
 
 
 def frame_query(oracle: str | None):

@@ -457,3 +457,5 @@ sql_query("ds_pivoted_counts", """
     FROM (SELECT l_linestatus, datediff(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY l_linestatus""", """
     SELECT l_linestatus, CAST(sum(CASE WHEN d < 30 THEN 1 ELSE 0 END) AS BIGINT) AS days30, CAST(sum(CASE WHEN d >= 30 AND d < 60 THEN 1 ELSE 0 END) AS BIGINT) AS days60, CAST(sum(CASE WHEN d >= 60 THEN 1 ELSE 0 END) AS BIGINT) AS more
     FROM (SELECT l_linestatus, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY l_linestatus""")
+sql_query("agg_kll_sketch", "SELECT n_regionkey, kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(CAST(n_nationkey AS BIGINT)), 0.5) AS m, kll_sketch_get_n_bigint(kll_sketch_agg_bigint(CAST(n_nationkey AS BIGINT))) AS n FROM nation GROUP BY n_regionkey",
+          "SELECT n_regionkey, CAST(quantile_disc(n_nationkey, 0.5) AS BIGINT) AS m, count(*) AS n FROM nation GROUP BY n_regionkey")

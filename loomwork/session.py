@@ -99,7 +99,8 @@ class Loom:
         return self._reader("parquet", path, **options)
 
     def read_csv(self, path: str, **options: Any) -> DataFrame:
-        return self._reader("csv", path, **options)
+        """The first line names the columns unless header is false."""
+        return self._reader("csv", path, **({"header": "true"} | options))
 
     def read_json(self, path: str, **options: Any) -> DataFrame:
         return self._reader("json", path, **options)
@@ -125,8 +126,49 @@ class Loom:
 
         self.spark.udf.register(name, F.pandas_udf(f, returns) if vectorised else F.udf(f, returns))
 
+    # ------------------------------------------------------------ sinks
+
+    @staticmethod
+    def _write(df: DataFrame, kind: str, path: str, partition_by: list[str] = (), mode: str = "errorifexists", **options: Any) -> None:
+        from loomwork import sources
+
+        sources.write(df, kind, path, partition_by, mode, **options)
+
+    def write_parquet(self, df: DataFrame, path: str, **options: Any) -> None:
+        self._write(df, "parquet", path, **options)
+
+    def write_csv(self, df: DataFrame, path: str, **options: Any) -> None:
+        self._write(df, "csv", path, **options)
+
+    def write_json(self, df: DataFrame, path: str, **options: Any) -> None:
+        self._write(df, "json", path, **options)
+
     # ------------------------------------------------------------ results
 
+    def collect_with_progress(self, df: DataFrame, tell: Callable[[int, int], None], every: float = 0.2) -> list:
+        """The rows; meanwhile tell(finished tasks, known tasks) is called every so many seconds."""
+        import threading
+        import uuid
+
+        sc, group, done = self.spark.sparkContext, uuid.uuid4().hex, threading.Event()
+        tracker = sc.statusTracker()
+
+        def watch() -> None:
+            while not done.wait(every):
+                stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+                infos = [i for s in stages if (i := tracker.getStageInfo(s))]
+                tell(sum(i.numCompletedTasks for i in infos), sum(i.numTasks for i in infos))
+
+        thread = threading.Thread(target=watch, daemon=True)
+        sc.setJobGroup(group, "collect_with_progress")
+        thread.start()
+        try:
+            return df.collect()
+        finally:
+            done.set()
+            thread.join()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
     @staticmethod
     def collect_partitioned(df: DataFrame) -> list[list]:
         """Rows by partition, in the order of partitions (for small results)."""

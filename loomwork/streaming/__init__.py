@@ -18,3 +18,12 @@ def sessions(events: DataFrame, time: str, gap: str, aggregates: list[Column], k
     timed = events.withWatermark(time, late) if events.isStreaming else events
     out = timed.groupBy(F.session_window(time, gap), *keys).agg(*aggregates)
     return out.select(F.col("session_window.start").alias("window_start"), F.col("session_window.end").alias("window_end"), *keys, *(c for c in out.columns if c not in ("session_window", *keys)))
+
+
+def joined(left: DataFrame, right: DataFrame, left_time: str, right_time: str, on: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """Rows that meet the SQL condition ``on`` and whose times lie within the interval; on streams the state of each side is dropped behind the watermark."""
+    if left.isStreaming:
+        left = left.withWatermark(left_time, late)
+    if right.isStreaming:
+        right = right.withWatermark(right_time, late)
+    return left.join(right, F.expr(f"({on}) AND {left_time} BETWEEN {right_time} - INTERVAL {within} AND {right_time} + INTERVAL {within}"))

@@ -1,6 +1,8 @@
 """Operators, dialect, sources and tools where the suites don't reach."""
 
+import datetime
 import io
+import time
 
 import duckdb
 import pyarrow as pa
@@ -292,3 +294,55 @@ def test_shell_writes_every_row(loom):
     shell.quiet = True
     shell.run(text)
     assert out.getvalue() == 'a,b\n0,"x,y"\n1,\n'
+
+
+def test_sinks_and_progress(loom, tmp_path):
+    df = loom.sql("SELECT id, id % 3 AS k FROM range(30)")
+    loom.write_parquet(df, f"{tmp_path}/a", partition_by=["k"])
+    loom.write_csv(df, f"{tmp_path}/b.csv")
+    loom.write_json(df, f"{tmp_path}/c.json")
+    assert loom.read_parquet(f"{tmp_path}/a").count() == loom.read_csv(f"{tmp_path}/b.csv").count() == loom.read_json(f"{tmp_path}/c.json").count() == 30
+    assert (tmp_path / "b.csv").is_file() and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b.csv", "c.json"]
+    with pytest.raises(FileExistsError):
+        loom.write_csv(df, f"{tmp_path}/b.csv")
+    loom.write_csv(df.limit(2), f"{tmp_path}/b.csv", mode="overwrite")
+    assert loom.read_csv(f"{tmp_path}/b.csv").count() == 2
+    told = []
+    slow = loom.spark.range(40).repartition(8).mapInArrow(lambda b: (x for x in b if not __import__("time").sleep(0.4)), "id long")
+    assert len(loom.collect_with_progress(slow, lambda a, b: told.append((a, b)), 0.1)) == 40
+    assert told and all(a <= b for a, b in told) and max(b for _, b in told) >= 8
+
+
+def stream_of(spark, folder, rows_of_files, schema):
+    """A stream that reads one file at a time, in order."""
+    for k, rows in enumerate(rows_of_files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{folder}/in")
+        time.sleep(0.02)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
+
+
+def run_stream(spark, df, name, folder, mode="append"):
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/check-{name}").trigger(availableNow=True).start()
+    query.awaitTermination(90)
+    assert query.exception() is None
+    return sorted(tuple(r) for r in spark.table(name).collect())
+
+
+def test_streams(spark, tmp_path):
+    """Tumbling, sliding and session windows over a stream as over a table; rows behind the watermark are dropped; two streams join."""
+    from loomwork.streaming import joined, sessions, windowed
+
+    at = lambda m, s=0: datetime.datetime(2020, 1, 1, 10 + m // 60, m % 60, s)
+    schema = "ts timestamp, k string, v int"
+    files = [[(at(1), "a", 1), (at(4), "b", 2), (at(6), "a", 3)], [(at(27), "a", 4), (at(29), "a", 5)], [(at(30), "a", 7)], [(at(2), "a", 100), (at(28), "b", 6)], [(at(90), "z", 0)], [(at(170), "z", 0)]]
+    in_time = [r for f in files for r in f if r[2] != 100]
+    stream, table = stream_of(spark, tmp_path, files, schema), spark.createDataFrame(in_time, schema)
+    sums = [F.sum("v").alias("s")]
+    closed = lambda rows: [r for r in sorted(tuple(r) for r in rows) if r[2] != "z"]  # noqa: E731  the last windows stay open
+    for name, f in {"tumbling": lambda d: windowed(d, "ts", "5 minutes", sums, ["k"], late="10 minutes"), "sliding": lambda d: windowed(d, "ts", "10 minutes", sums, ["k"], "5 minutes", "10 minutes"), "session": lambda d: sessions(d, "ts", "3 minutes", sums, ["k"], "10 minutes")}.items():
+        got = run_stream(spark, f(stream), name, tmp_path)
+        assert closed(got) == closed(f(table).collect()) and closed(got)
+    other = spark.readStream.schema(schema).json(f"{tmp_path}/in").select(F.col("ts").alias("ts2"), F.col("k").alias("k2"), F.col("v").alias("v2"))
+    both = joined(stream, other, "ts", "ts2", "k = k2", "2 minutes", "1 hour").select("k", "v", "v2")
+    want = sorted((a[1], a[2], b[2]) for f in files for a in f for g in files for b in g if a[1] == b[1] and abs((a[0] - b[0]).total_seconds()) <= 120)
+    assert [r for r in run_stream(spark, both, "pairs", tmp_path) if 100 not in r] == [r for r in want if 100 not in r]
