@@ -87,7 +87,7 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 class ByteBPE:
     """Encodes and decodes with the ranks at path and the pre-token pattern."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 48 << 20):
+    def __init__(self, path: str, pattern: str, cached: int = 96 << 20):
         import sentencepiece
 
         self.ranks = read_ranks(path)

@@ -19,24 +19,28 @@ WORD = re.compile(f"[^{SPACE}]+")
 
 
 class ChunkCache:
-    """chunk to the bytes that encode() makes of it, for lists of chunks; emptied when it holds over ``limit`` bytes."""
+    """chunk to the bytes that encode() makes of it, for lists of chunks.
+
+    Two generations of ``limit`` / 2 bytes each: when the young one is full it becomes the old one, and
+    what comes again moves back, so frequent chunks stay.
+    """
 
     ENTRY = 200  # bytes of an entry besides its characters
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 48 << 20):
-        self.encode, self.limit, self.known, self.bytes = encode, limit, {}, 0
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 128 << 20):
+        self.encode, self.limit, self.young, self.old, self.bytes = encode, limit, {}, {}, 0
 
     def get(self, chunks: list[str]) -> list[bytes]:
-        known = self.known
-        missing = [c for c in set(chunks) if c not in known]
+        young, old = self.young, self.old
+        missing = [c for c in set(chunks) if c not in young]
         if missing:
-            made = self.encode(missing)
-            known.update(zip(missing, made))
-            self.bytes += sum(map(len, missing)) + sum(map(len, made)) + self.ENTRY * len(made)
-        out = list(map(known.__getitem__, chunks))
-        if self.bytes > self.limit:
-            known.clear()
-            self.bytes = 0
+            new = [c for c in missing if c not in old]
+            young.update((c, old[c]) for c in missing if c in old)
+            young.update(zip(new, self.encode(new)) if new else ())
+            self.bytes += sum(map(len, missing)) + sum(len(young[c]) for c in missing) + self.ENTRY * len(missing)
+        out = list(map(young.__getitem__, chunks))
+        if 2 * self.bytes > self.limit:
+            self.old, self.young, self.bytes = young, {}, 0
         return out
 
 

@@ -51,7 +51,7 @@ class WordTokenizer:
     PLAIN = regex.compile(r"[!-˿]+")
     ODD_SPACE = tuple("\x1c\x1d\x1e\x1f")
 
-    def __init__(self, path: str, cached: int = 48 << 20):
+    def __init__(self, path: str, cached: int = 192 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -38,7 +38,7 @@ TRAIN_DOCS = 1500
 DECAY, SPAN, FLOOR, LANDMARKS, COUNTER = 0.6, 6, 0.35, 72, 24
 WIDTH, STRIDE = 24, 12
 #: Bytes of words and rows that a worker process keeps.
-CACHE_BYTES = 144 << 20
+CACHE_BYTES = 208 << 20
 #: How clearly a landmark must speak for toxic documents, in standard deviations of the difference of shares.
 CLEAR = 3.0
 ENDS = frozenset(".!?|;:")
