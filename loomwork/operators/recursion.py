@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from loomwork.scratch import shared_folder
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomwork-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -30,6 +30,20 @@ def groups_frame(df: DataFrame, partition_by: list[str], order_by: list[Column],
     return df.withColumn("_group", F.dense_rank().over(whole)).withColumn(name, aggregate(framed)).drop("_group")
 
 
+def user_window(df: DataFrame, partition_by: list[str], order_by: list[str], evaluate: Callable, name: str, returns: str) -> DataFrame:
+    """evaluate(rows) OVER (PARTITION BY ... ORDER BY ...): a pandas frame of one partition in order to a value for each row.
+
+    A partition must fit one Python worker; rows keep their columns.  Nulls sort last.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(rows):
+        rows = rows.sort_values(order_by, kind="stable").reset_index(drop=True)
+        return rows.assign(**{name: evaluate(rows)})
+
+    return df.groupBy(*partition_by).applyInPandas(run, f"{schema}, `{name}` {returns}")
+
+
 def top_n_per_group(df: DataFrame, keys: list[str], order_by: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; Spark limits the groups before the shuffle."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))).where(F.col("_nth") <= n).drop("_nth")

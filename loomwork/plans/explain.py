@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 KINDS = {"indent": "extended", "tree": "formatted", "formatted": "formatted", "simple": "simple", "extended": "extended", "cost": "cost", "codegen": "codegen"}
@@ -10,6 +12,8 @@ KINDS = {"indent": "extended", "tree": "formatted", "formatted": "formatted", "s
 def text(df: DataFrame, kind: str = "formatted") -> str:
     if kind == "graphviz":
         return graphviz(df)
+    if kind == "pgjson":
+        return pgjson(df)
     if kind not in KINDS:
         raise ValueError(f"no explain format {kind}")
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), KINDS[kind])
@@ -59,3 +63,15 @@ def graphviz(df: DataFrame) -> str:
             lines.append(f"  n{k} -> n{stack[-1]};")
         stack.append(k)
     return "\n".join([*lines, "}"])
+
+
+def pgjson(df: DataFrame) -> str:
+    """The physical plan as JSON: a node's type, its output line and the nodes below it."""
+    above: list[dict] = []
+    for depth, name, detail, _ in _walk(df._jdf.queryExecution().executedPlan()):
+        node = {"Node Type": name, "Output": detail, "Plans": []}
+        del above[depth:]
+        if above:
+            above[-1]["Plans"].append(node)
+        above.append(node)
+    return json.dumps([{"Plan": above[0]}], indent=2)

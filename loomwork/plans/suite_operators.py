@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from loomwork import operators as ops
 from loomwork import sources
 from loomwork.plans.registry import frame_query, sql_query
+from loomwork.scratch import shared_folder
 
 # ---------------------------------------------------------------- scans and sinks
 
@@ -20,15 +20,14 @@ sql_query("scan_parquet_pushdown", "SELECT l_orderkey, l_quantity FROM lineitem
 sql_query("scan_values", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t (k, v)")
 sql_query("scan_one_row", "SELECT 1 AS one, 'x' AS x")
 sql_query("scan_empty", "SELECT l_orderkey, l_quantity FROM lineitem WHERE 1 = 0")
-sql_query("generate_series_int", "SELECT value FROM generate_series(1, 20, 3) AS t", "SELECT CAST(value AS INTEGER) AS value FROM generate_series(1, 20, 3) AS t (value)")
-sql_query("generate_series_down", "SELECT value FROM generate_series(10, 1, -4) AS t", "SELECT CAST(value AS INTEGER) AS value FROM generate_series(10, 1, -4) AS t (value)")
+sql_query("generate_series_int", "SELECT value FROM generate_series(1, 20, 3) AS t", "SELECT value FROM generate_series(1, 20, 3) AS t (value)")
+sql_query("generate_series_down", "SELECT value FROM generate_series(10, 1, -4) AS t", "SELECT value FROM generate_series(10, 1, -4) AS t (value)")
 sql_query("view_scan", "WITH v AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') SELECT o_custkey, count(*) AS n FROM v GROUP BY o_custkey")
 sql_query("cte_reused", "WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) SELECT a.n AS n, count(*) AS m FROM c a JOIN c b ON a.n = b.n AND a.k < b.k GROUP BY a.n")
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/loomwork-io/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/loomwork-io/{uuid.uuid4().hex}"
 
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
@@ -459,3 +458,42 @@ sql_query("ds_pivoted_counts", """
     FROM (SELECT l_linestatus, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY l_linestatus""")
 sql_query("agg_kll_sketch", "SELECT n_regionkey, kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(CAST(n_nationkey AS BIGINT)), 0.5) AS m, kll_sketch_get_n_bigint(kll_sketch_agg_bigint(CAST(n_nationkey AS BIGINT))) AS n FROM nation GROUP BY n_regionkey",
           "SELECT n_regionkey, CAST(quantile_disc(n_nationkey, 0.5) AS BIGINT) AS m, count(*) AS n FROM nation GROUP BY n_regionkey")
+
+# forms of the dialect that Spark refuses, and functions of users
+
+sql_query("window_distinct_filter", "SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS kinds, sum(DISTINCT extract(YEAR FROM o_orderdate)) OVER (PARTITION BY o_custkey) AS years, count(*) FILTER (WHERE o_totalprice > 250000) OVER (PARTITION BY o_custkey) AS large, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey), 2) AS done FROM orders",
+          "SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS kinds, CAST(sum(DISTINCT extract(YEAR FROM o_orderdate)) OVER (PARTITION BY o_custkey) AS BIGINT) AS years, count(*) FILTER (WHERE o_totalprice > 250000) OVER (PARTITION BY o_custkey) AS large, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey), 2) AS done FROM orders")
+sql_query("agg_distinct_ordered", "SELECT o_orderstatus, array_to_string(array_agg(DISTINCT o_orderpriority ORDER BY o_orderpriority DESC), ',') AS a, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS b FROM orders GROUP BY o_orderstatus",
+          "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority DESC) AS a, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS b FROM orders GROUP BY o_orderstatus")
+sql_query("generate_series_time", "SELECT value FROM generate_series(TIMESTAMP '2020-01-01 00:00:00', TIMESTAMP '2020-01-02 00:00:00', INTERVAL '6' HOUR) AS t", "SELECT value FROM generate_series(TIMESTAMP '2020-01-01 00:00:00', TIMESTAMP '2020-01-02 00:00:00', INTERVAL 6 HOUR) AS t (value)")
+sql_query("table_range", "SELECT value, value * value AS square FROM range(3, 12, 2) AS t", "SELECT range AS value, range * range AS square FROM range(3, 12, 2)")
+sql_query("expr_regex_match", "SELECT p_partkey, p_type ~ '^[A-M]' AS a, p_type ~* 'steel' AS b, p_type !~ 'BR.SS' AS c, p_type !~* 'copper$' AS d FROM part",
+          "SELECT p_partkey, regexp_matches(p_type, '^[A-M]') AS a, regexp_matches(p_type, 'steel', 'i') AS b, NOT regexp_matches(p_type, 'BR.SS') AS c, NOT regexp_matches(p_type, 'copper$', 'i') AS d FROM part")
+sql_query("expr_list_map_exclude", "SELECT * EXCLUDE (n_comment), array_to_string([n_nationkey, n_regionkey], '-') AS a, map([n_name], [n_nationkey])[n_name] AS b, MAP {'k': n_regionkey}['k'] AS c FROM (SELECT n_nationkey, n_regionkey, n_name, 'x' AS n_comment FROM nation)",
+          "SELECT n_nationkey, n_regionkey, n_name, concat_ws('-', n_nationkey, n_regionkey) AS a, n_nationkey AS b, n_regionkey AS c FROM nation")
+sql_query("fn_encode", "SELECT p_partkey, encode(p_name, 'hex') AS a, encode(p_name, 'base64') AS b, CAST(decode(encode(p_name, 'base64'), 'base64') AS STRING) AS c, CAST(decode(encode(p_name, 'hex'), 'hex') AS STRING) AS d FROM part",
+          "SELECT p_partkey, lower(hex(p_name)) AS a, rtrim(to_base64(encode(p_name)), '=') AS b, p_name AS c, p_name AS d FROM part")
+sql_query("fn_arrow_types", "SELECT o_orderkey, arrow_cast(o_orderkey, 'Int32') AS a, arrow_cast(o_totalprice, 'Utf8') IS NULL AS b, arrow_typeof(o_totalprice) AS c, arrow_typeof(arrow_cast(o_orderkey, 'Int16')) AS d FROM orders WHERE o_orderkey < 32768",
+          "SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS a, false AS b, 'Float64' AS c, 'Int16' AS d FROM orders WHERE o_orderkey < 32768")
+
+
+@frame_query("SELECT o_orderkey, o_custkey, o_orderkey - coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) AS gap FROM orders")
+def udf_window(spark, t):
+    def gap(rows):
+        return rows["o_orderkey"] - rows["o_orderkey"].shift(1, fill_value=0)
+
+    return ops.user_window(t("orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"], gap, "gap", "bigint")
+
+
+@frame_query("SELECT c_custkey, c_custkey * 2 + c_nationkey AS y FROM customer")
+def udf_async(spark, t):
+    import asyncio
+
+    from loomwork.session import Loom
+
+    async def answer(key, nation):
+        await asyncio.sleep(0)
+        return key * 2 + nation
+
+    Loom(spark).register_async_udf("answer_of", answer, "bigint")
+    return t("customer").selectExpr("c_custkey", "answer_of(c_custkey, c_nationkey) AS y")

@@ -20,6 +20,7 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.timeType.enabled": "true",
 }
 
 #: Names of settings that users of other engines know, and what they are here.
@@ -126,6 +127,28 @@ class Loom:
 
         self.spark.udf.register(name, F.pandas_udf(f, returns) if vectorised else F.udf(f, returns))
 
+    def register_async_udf(self, name: str, f: Callable, returns: str, at_once: int = 64) -> None:
+        """A scalar function for SQL from a coroutine function of one row's values; at most at_once calls wait at a time in a task."""
+        import asyncio
+
+        import pandas as pd
+        from pyspark.sql import functions as F
+
+        async def together(rows: list[tuple]) -> list:
+            gate = asyncio.Semaphore(at_once)
+
+            async def one(row: tuple):
+                async with gate:
+                    return await f(*row)
+
+            return await asyncio.gather(*map(one, rows))
+
+        def of_batch(*columns: pd.Series) -> pd.Series:
+            return pd.Series(asyncio.run(together(list(zip(*columns)))), dtype=object)
+
+        of_batch.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+        self.spark.udf.register(name, F.pandas_udf(of_batch, returns))
+
     # ------------------------------------------------------------ sinks
 
     @staticmethod

@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import json
 import time
 
 import duckdb
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from loomwork import dialect, operators as ops, sources
 from loomwork.cli import Shell
 from loomwork.plans import explain
+from loomwork.scratch import shared_folder
 from loomwork.session import Loom
 
 
@@ -253,7 +255,7 @@ def test_functions_of_other_dialects(loom):
     assert one("trunc(-1.57)") == -1 and one("trunc(1.57, 1)") == 1.5 and str(one("trunc(DATE '2020-05-17', 'MM')")) == "2020-05-01"
     assert one("to_char(TIMESTAMP '2020-03-04 05:06:07', '%Y/%m/%d at %H:%M')") == "2020/03/04 at 05:06" and one("to_char(DATE '2020-03-04', 'yyyy')") == "2020"
     with pytest.raises(ValueError, match="no explain format"):
-        explain.text(loom.sql("SELECT 1"), "pgjson")
+        explain.text(loom.sql("SELECT 1"), "drawing")
 
 
 def test_external_tables_take_inserts(loom, tmp_path):
@@ -279,7 +281,7 @@ def test_many_ranges_are_one_search(spark):
 
 
 def test_shell_writes_every_row(loom):
-    text = "SELECT id AS a, IF(id = 1, NULL, 'x,y') AS b FROM range(2500)"
+    text = "SELECT value AS a, IF(value = 1, NULL, 'x,y') AS b FROM range(2500)"
     for kind, more in (("csv", 1), ("json", 0), ("table", 4)):
         out = io.StringIO()
         shell = Shell(loom, kind, out)
@@ -297,7 +299,7 @@ def test_shell_writes_every_row(loom):
 
 
 def test_sinks_and_progress(loom, tmp_path):
-    df = loom.sql("SELECT id, id % 3 AS k FROM range(30)")
+    df = loom.sql("SELECT value AS id, value % 3 AS k FROM range(30)")
     loom.write_parquet(df, f"{tmp_path}/a", partition_by=["k"])
     loom.write_csv(df, f"{tmp_path}/b.csv")
     loom.write_json(df, f"{tmp_path}/c.json")
@@ -346,3 +348,53 @@ def test_streams(spark, tmp_path):
     both = joined(stream, other, "ts", "ts2", "k = k2", "2 minutes", "1 hour").select("k", "v", "v2")
     want = sorted((a[1], a[2], b[2]) for f in files for a in f for g in files for b in g if a[1] == b[1] and abs((a[0] - b[0]).total_seconds()) <= 120)
     assert [r for r in run_stream(spark, both, "pairs", tmp_path) if 100 not in r] == [r for r in want if 100 not in r]
+
+
+def test_literals_symbols_and_show(loom, spark, tmp_path):
+    assert loom.sql("SELECT [1, 2, 3] AS a, make_array(4)[0] AS b, 'x ~ [y]' AS c, ~5 AS d").first()[:] == ([1, 2, 3], 4, "x ~ [y]", -6)
+    assert loom.sql("SELECT 'it''s' ~ 'it''s' AS a, 'ab' ~* concat('A', 'B') AS b, 'ab' != 'b' AS c").first()[:] == (True, True, True)
+    assert loom.sql("SELECT range(2, 5) AS a, generate_series(DATE '2020-01-01', DATE '2020-01-03', INTERVAL '1' DAY)[2] AS b").first()["a"] == [2, 3, 4]
+    assert [r["value"] for r in loom.sql("SELECT value FROM (VALUES (1)) AS o (x), generate_series(5, 1, -2) AS t ORDER BY value").collect()] == [1, 3, 5]
+    assert "Range" in loom.explain(loom.sql("SELECT value FROM generate_series(1, 1000000000) AS t"))
+    assert loom.sql("SHOW execution.target_partitions").first()["name"] == "spark.sql.shuffle.partitions"
+    assert loom.sql("SHOW ALL").where("name = 'spark.sql.adaptive.enabled'").count() == 1
+    plan = json.loads(loom.sql("EXPLAIN FORMAT PGJSON SELECT a, count(*) FROM VALUES (1), (2) AS t (a) GROUP BY a").first()["plan"])
+    assert "Aggregate" in str(plan[0]["Plan"])
+    (tmp_path / "rows.json").write_text('[{"a": 1},\n {"a": 2}]')
+    loom.sql(f"CREATE EXTERNAL TABLE json_rows STORED AS JSON LOCATION '{tmp_path}/rows.json' OPTIONS ('format.newline_delimited' 'false')")
+    assert sorted(r["a"] for r in loom.sql("SELECT * FROM json_rows").collect()) == [1, 2]
+
+
+def test_window_of_nulls_and_empty_frames(loom):
+    rows = loom.sql("SELECT k, x, count(DISTINCT x) OVER (PARTITION BY k) AS n, sum(DISTINCT x) OVER (PARTITION BY k) AS s, avg(DISTINCT x) OVER (PARTITION BY k) AS m FROM VALUES (1, 2), (1, 2), (1, 5), (1, NULL), (2, NULL) AS t (k, x)").collect()
+    assert {r[2:] for r in rows if r["k"] == 1} == {(2, 7, 3.5)}
+    assert {r[2:] for r in rows if r["k"] == 2} == {(0, None, None)}
+    assert loom.sql("SELECT CAST(array_agg(DISTINCT x ORDER BY x DESC) AS string) FROM VALUES (1), (3), (1), (2) AS t (x)").first()[0] == "[3, 2, 1]"
+
+
+def test_user_windows_and_async_functions(loom, spark):
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 5, None)], "k int, at int, x string")
+    out = ops.user_window(rows, ["k"], ["at"], lambda p: range(len(p)), "nth", "int")
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 1, "a", 0), (1, 2, "b", 1), (2, 5, None, 0)]
+
+    async def joined(a, b):
+        return None if b is None else f"{a}{b}"
+
+    loom.register_async_udf("joined_slowly", joined, "string", at_once=1)
+    rows.createOrReplaceTempView("slow_rows")
+    assert [r[0] for r in loom.sql("SELECT joined_slowly(at, x) FROM slow_rows ORDER BY at").collect()] == ["1a", "2b", None]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+            self.sparkContext = self
+
+        def getConf(self):
+            return {k.replace("_", "."): v for k, v in self.conf.items()}
+
+    assert shared_folder(Session(spark_master="spark://a:1", spark_checkpoint_dir="s3://b/c/")) == "s3://b/c"
+    assert shared_folder(Session(spark_master="local[2]")).startswith("file:")
+    with pytest.raises(RuntimeError):
+        shared_folder(Session(spark_master="spark://a:1"))
