@@ -42,7 +42,7 @@ def approx_percentile_cont(x: Column, p: float) -> Column:
 
 
 def count_distinct_over(x: Column, window) -> Column:
-    """count(DISTINCT x) OVER window."""
+    """count(DISTINCT x) OVER window, for frames that hold few values: a row carries its frame's set; whole partitions have operators.count_distinct_window."""
     return F.size(F.collect_set(x).over(window)).cast("long")
 
 

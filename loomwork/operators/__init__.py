@@ -12,9 +12,9 @@ from loomwork.operators.partitioning import (
 )
 from loomwork.operators.recursion import fixpoint
 from loomwork.operators.relational import distinct_on, interleave, join, mark_join, not_in, unnest
-from loomwork.operators.windows import groups_frame, parallel_range_window, top_n_per_group, user_window
+from loomwork.operators.windows import count_distinct_window, groups_frame, parallel_range_window, top_n_per_group, user_window
 
 __all__ = [
-    "bucket_of",    "cuts", "distinct_on", "fixpoint", "groups_frame", "hash_repartition", "interleave", "join", "mark_join", "not_in", "ordered_ranges",
+    "bucket_of", "count_distinct_window", "cuts", "distinct_on", "fixpoint", "groups_frame", "hash_repartition", "interleave", "join", "mark_join", "not_in", "ordered_ranges",
     "parallel_range_window", "per_partition_filter", "range_filter", "runtime_stats", "top_n_per_group", "unnest", "unordered_ranges", "user_window",
 ]

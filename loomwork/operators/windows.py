@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -30,6 +31,16 @@ def groups_frame(df: DataFrame, partition_by: list[str], order_by: list[Column],
     return df.withColumn("_group", F.dense_rank().over(whole)).withColumn(name, aggregate(framed)).drop("_group")
 
 
+def count_distinct_window(df: DataFrame, partition_by: list[str], value: str | Column, name: str) -> DataFrame:
+    """count(DISTINCT value) OVER (PARTITION BY ...), from one aggregate joined back: no task holds a set of values."""
+    keys = [f"_of{k}" for k in range(len(partition_by))]
+    counts = df.groupBy(*(F.col(c).alias(k) for c, k in zip(partition_by, keys))).agg(F.count_distinct(value).alias(name))
+    if not keys:
+        return df.crossJoin(F.broadcast(counts))  # one row
+    same = functools.reduce(Column.__and__, (df[c].eqNullSafe(F.col(k)) for c, k in zip(partition_by, keys)))
+    return df.join(counts, same).drop(*keys)
+
+
 def user_window(df: DataFrame, partition_by: list[str], order_by: list[str], evaluate: Callable, name: str, returns: str) -> DataFrame:
     """evaluate(rows) OVER (PARTITION BY ... ORDER BY ...): a pandas frame of one partition in order to a value for each row.
 

@@ -225,9 +225,8 @@ def window_groups(spark, t):
 
 @frame_query("SELECT o_orderkey, (SELECT count(DISTINCT p.o_custkey) FROM orders p WHERE p.o_orderstatus = o.o_orderstatus) AS w FROM orders o")
 def window_count_distinct(spark, t):
-    from loomwork.functions.catalog import count_distinct_over
-
-    return t("orders").select("o_orderkey", count_distinct_over(F.col("o_custkey"), Window.partitionBy("o_orderstatus")).alias("w"))
+    df = ops.count_distinct_window(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderstatus"], "o_custkey", "w")
+    return df.select("o_orderkey", F.when(F.col("o_orderstatus").isNull(), 0).otherwise(F.col("w")).alias("w"))  # nothing equals null
 
 
 @frame_query("SELECT o_orderkey, count(*) OVER w AS n, min(o_orderkey) OVER w AS low FROM (SELECT o_orderkey, nullif(o_custkey, 7) AS k FROM orders) WINDOW w AS (ORDER BY k NULLS LAST RANGE BETWEEN 5 PRECEDING AND 3 FOLLOWING)")
