@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.operators.partitioning import OWN, RANGE, with_ranges
 
@@ -41,12 +42,28 @@ def count_distinct_window(df: DataFrame, partition_by: list[str], value: str | C
     return df.join(counts, same).drop(*keys)
 
 
+#: Types whose Arrow columns become the pandas columns that Spark makes of them.
+PLAIN = (T.IntegralType, T.FloatType, T.DoubleType, T.BooleanType, T.BinaryType, T.DateType, T.DecimalType)
+
+
+def _plain(kind: T.DataType) -> bool:
+    return isinstance(kind, PLAIN) or kind == T.StringType()
+
+
 def user_window(df: DataFrame, partition_by: list[str], order_by: list[str], evaluate: Callable, name: str, returns: str) -> DataFrame:
     """evaluate(rows) OVER (PARTITION BY ... ORDER BY ...): a pandas frame of one partition in order to a value for each row.
 
-    A partition must fit one Python worker; rows keep their columns.  Nulls sort last.
+    A partition must fit one Python worker; rows keep their columns.  Nulls sort last.  Partitions come many to an
+    Arrow batch, so small ones cost little besides evaluate itself.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    kind = T.StructType.fromDDL(f"x {returns}")[0].dataType
+    if all(_plain(f.dataType) for f in df.schema) and _plain(kind):
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.repartition(parts, *partition_by) if partition_by else df.repartition(1)
+        order = [F.col(c) for c in partition_by] + [F.col(c).asc_nulls_last() for c in order_by]
+        dealt = dealt.sortWithinPartitions(*order) if order else dealt
+        return dealt.mapInArrow(_by_group(partition_by, evaluate, name, kind), f"{schema}, `{name}` {returns}")
 
     def run(rows):
         rows = rows.sort_values(order_by, kind="stable").reset_index(drop=True)
@@ -55,6 +72,74 @@ def user_window(df: DataFrame, partition_by: list[str], order_by: list[str], eva
     return df.groupBy(*partition_by).applyInPandas(run, f"{schema}, `{name}` {returns}")
 
 
+def _by_group(keys: list[str], evaluate: Callable, name: str, kind: T.DataType) -> Callable:
+    """A function of a task's batches, sorted by keys: evaluate for each group, which may lie in several batches."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out_type = to_arrow_type(kind)
+
+    def starts(table) -> np.ndarray:
+        """The rows where a group starts; null equals null and NaN equals NaN."""
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in keys:
+            x = table.column(c)
+            x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+            l, r = x.slice(0, len(x) - 1), x.slice(1)
+            other = pc.fill_null(pc.not_equal(l, r), False)
+            if pa.types.is_floating(x.type):
+                other = pc.and_not(other, pc.fill_null(pc.and_(pc.is_nan(l), pc.is_nan(r)), False))
+            new[1:] |= pc.or_(other, pc.not_equal(l.is_null(), r.is_null())).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    def column(values: list) -> pa.Array:
+        one = lambda v: pa.array(v, type=out_type, mask=pd.isnull(v), from_pandas=True)
+        if len({v.dtype for v in values}) == 1 and isinstance(values[0], np.ndarray):
+            return one(np.concatenate(values))
+        return pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in map(one, values)])
+
+    def done(table):
+        table = table.combine_chunks()
+        at = [*starts(table), table.num_rows]
+        # whole numbers with nulls would become floats in every group of the batch: they are filled here, and groups that hold nulls read on their own
+        holes, filled = np.zeros(table.num_rows, bool), table
+        for k, f in enumerate(table.schema):
+            if table.column(k).null_count and (pa.types.is_integer(f.type) or pa.types.is_boolean(f.type)):
+                holes |= table.column(k).is_null().to_numpy()
+                filled = filled.set_column(k, f.name, pc.fill_null(table.column(k), pa.scalar(0).cast(f.type)))
+        frame, before, values = filled.to_pandas(), np.concatenate([[0], np.cumsum(holes)]), []
+        for a, b in zip(at, at[1:]):
+            rows = table.slice(a, b - a).to_pandas() if before[b] > before[a] else frame.iloc[a:b]
+            rows.index = pd.RangeIndex(b - a)
+            v = evaluate(rows)
+            if not (isinstance(v, pd.Series) and v.index.equals(rows.index)):
+                v = rows.assign(**{name: v})[name]
+            values.append(v.to_numpy() if isinstance(v.dtype, np.dtype) else v.array)
+        yield from table.append_column(name, column(values)).to_batches()
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = int(starts(batch)[-1])
+            same = bool(held) and len(starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))) == 1
+            if held and not (same and last == 0):
+                yield from done(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif not held and last:
+                yield from done(pa.Table.from_batches([batch.slice(0, last)]))
+            held.append(batch.slice(last))
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return run
+
+
 def top_n_per_group(df: DataFrame, keys: list[str], order_by: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; Spark limits the groups before the shuffle."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))).where(F.col("_nth") <= n).drop("_nth")
