@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.operators.partitioning import OWN, RANGE, with_ranges
+from loomwork.operators.partitioning import OWN, RANGE, bucket_of, cuts, with_ranges
 
 
 def parallel_range_window(df: DataFrame, key: str, preceding: float, following: float, aggregate: Callable[[WindowSpec], Column], name: str, parts: int | None = None, nulls_last: bool = True) -> DataFrame:
@@ -25,6 +25,103 @@ def parallel_range_window(df: DataFrame, key: str, preceding: float, following:
     return with_ranges(df, key, preceding, following, parts).withColumn(name, aggregate(window)).where(OWN).drop(RANGE, OWN)
 
 
+def range_frame(df: DataFrame, key: str, preceding: float, following: float, aggregates: dict[str, tuple[str, Column]], parts: int | None = None) -> DataFrame:
+    """df with name = function(x) OVER (ORDER BY key RANGE BETWEEN preceding PRECEDING AND following FOLLOWING) for each name: (function, x).
+
+    Functions are count, sum, avg, min and max.  Equal keys are folded first.  A key goes to the range it lies in and to
+    those of the first and last rows whose frames it can enter, three ranges at most; ranges between, all of whose frames
+    hold it, get totals.  In a range, frames are merged from a tree of folded neighbours, so work doesn't grow with frames.
+    """
+    at = cuts(df, key, parts or max(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    k, folded, merged = F.col("_key"), [], []
+    for name, (f, x) in aggregates.items():
+        if f in ("min", "max"):
+            folded.append(getattr(F, f)(x).alias(name))
+            merged.append(getattr(F, f)(name).alias(name))
+            continue
+        folded.append(F.count(x).alias(f"{name}_n"))
+        merged.append(F.sum(f"{name}_n").alias(f"{name}_n"))
+        if f != "count":
+            folded.append(F.sum(x.cast("double") if f == "avg" else x).alias(name))
+            merged.append(F.sum(name).alias(name))
+    groups = df.groupBy(F.col(key).alias("_key")).agg(*folded)
+    values = groups.columns[1:]
+    floating = dict(groups.dtypes)["_key"] == "double"
+    slack = (F.abs(k) + max(preceding, following)) * 1e-14 if floating else F.lit(0)  # where rounding decides, the frames do
+    bounds = {"_b0": k - following - slack, "_b1": k - following + slack, "_b2": k + preceding - slack, "_b3": k + preceding + slack} if floating else {"_b0": k - following, "_b1": None, "_b2": k + preceding, "_b3": None}
+    for b, x in bounds.items():
+        groups = groups.withColumn(b, bucket_of(x, at) if x is not None else F.col("_b0" if b == "_b1" else "_b2"))
+    ends = F.array_union(F.sequence("_b0", "_b1"), F.sequence("_b2", "_b3"))
+    spread = groups.withColumn(OWN, bucket_of(k, at)).withColumn("_ends", ends).withColumn(RANGE, F.explode(F.array_union("_ends", F.array(OWN))))
+    spread = spread.select(RANGE, "_key", (F.col(RANGE) == F.col(OWN)).alias("_asks"), F.array_contains("_ends", F.col(RANGE)).alias("_held"), *values)
+    between = groups.where("_b2 - _b1 > 1").groupBy("_b1", "_b2").agg(*merged).withColumn(RANGE, F.explode(F.expr("sequence(_b1 + 1, _b2 - 1)"))).groupBy(RANGE).agg(*merged)
+    between = between.select(RANGE, F.lit(None).cast(dict(groups.dtypes)["_key"]).alias("_key"), F.lit(False).alias("_asks"), F.lit(False).alias("_held"), *values)
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
+    out = {name: {"count": "bigint", "avg": "double"}.get(f) or kinds[name] for name, (f, _) in aggregates.items()}
+    schema = ", ".join(f"`{n}` {t}" for n, t in {"_key": kinds["_key"], **out}.items())
+    found = spread.union(between).groupBy(RANGE).applyInArrow(_slide(preceding, following, {n: f for n, (f, _) in aggregates.items()}), schema)
+    return df.join(found, df[key].eqNullSafe(found["_key"])).drop("_key")
+
+
+def _slide(preceding: float, following: float, functions: dict[str, str]) -> Callable:
+    """A function of one range's keys that gives the frames of those that ask."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def slid(op, tree, start, stop, empty):
+        """op over tree[start:stop] for each pair: what is left over at either end of ever larger blocks."""
+        out, start, stop = np.full(len(start), empty, tree.dtype), start.copy(), stop.copy()
+        while (start < stop).any():
+            at = (start < stop) & (start & 1 == 1)
+            out[at] = op(out[at], tree[start[at]])
+            start += at
+            at = (start < stop) & (stop & 1 == 1)
+            stop -= at
+            out[at] = op(out[at], tree[stop[at]])
+            start, stop, even = start >> 1, stop >> 1, len(tree) // 2 * 2
+            tree = op(tree[:even:2], tree[1:even:2])
+        return out
+
+    def run(table):
+        table = table.combine_chunks()
+        held, asks = (table.column(c).to_numpy() for c in ("_held", "_asks"))
+        keys = pc.fill_null(table.column("_key"), 0).to_numpy()
+        keys = keys if keys.dtype.kind == "f" else keys.astype(np.int64)
+        inside, middle = np.flatnonzero(held), np.flatnonzero(~held & ~asks)
+        inside = inside[np.argsort(keys[inside], kind="stable")]
+        own, ordered = keys[asks], keys[inside]
+        start, stop = np.searchsorted(ordered, own - preceding, "left"), np.searchsorted(ordered, own + following, "right")
+        columns = {"_key": table.column("_key").filter(pa.array(asks))}
+
+        def total(name, empty=0):
+            values = pc.fill_null(table.column(name), empty).to_numpy()
+            if values.dtype.kind == "i" and np.abs(values.astype(float)).sum() >= 2**63:
+                raise OverflowError(f"a sum of {name} may not fit a bigint")
+            return slid(np.add, values[inside], start, stop, empty) + values[middle].sum(dtype=values.dtype)
+
+        for name, f in functions.items():
+            if f in ("min", "max"):
+                source = table.column(name)
+                source = source.combine_chunks() if isinstance(source, pa.ChunkedArray) else source
+                empty, op = (len(source) + 1, np.minimum) if f == "min" else (-1, np.maximum)
+                code = pc.rank(source, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+                place = np.zeros(len(source) + 2, np.int64)
+                place[code] = np.arange(len(source))
+                code[source.is_null().to_numpy(zero_copy_only=False)] = empty
+                best = slid(op, code[inside], start, stop, empty)
+                for c in code[middle]:
+                    best = op(best, c)
+                columns[name] = source.take(pa.array(place[best], mask=best == empty))
+                continue
+            n = total(f"{name}_n")
+            with np.errstate(all="ignore"):
+                columns[name] = pa.array(n if f == "count" else total(name) if f == "sum" else total(name) / n, mask=None if f == "count" else n == 0)
+        return pa.table(columns)
+
+    return run
+
+
 def groups_frame(df: DataFrame, partition_by: list[str], order_by: list[Column], start: int, end: int, aggregate: Callable[[WindowSpec], Column], name: str) -> DataFrame:
     """aggregate OVER (PARTITION BY ... ORDER BY ... GROUPS BETWEEN start AND end), bounds in groups of peers."""
     whole = Window.partitionBy(*partition_by).orderBy(*order_by)
