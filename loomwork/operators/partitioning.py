@@ -61,6 +61,35 @@ def with_ranges(df: DataFrame, key: str, low_halo, high_halo, parts: int | None
     return range_filter(df, key, at, low_halo, high_halo, RANGE).withColumn(OWN, F.col(RANGE) == bucket_of(F.col(key), at))
 
 
+def order_parts(df: DataFrame, order: list[tuple[str, bool, bool]], parts: int, n: int) -> tuple[Column, Column]:
+    """(part, key) for n rows in an ORDER BY of (column, descending, nulls first): parts rise with the order and equal keys share one.
+
+    Cuts come from a sample of keys, as in Spark's range exchange; only keys that run the same way as the first one are cut on.
+    """
+    kinds = {f.name.lower(): f.dataType for f in df.schema}
+    down, fields, types = order[0][1], [], []
+    for c, way, nulls_first in order:
+        if way != down:
+            break
+        if nulls_first == down:  # structs have nulls first, or last when read backwards
+            fields.append(F.col(c).isNull())
+            types.append("boolean")
+        fields.append(F.col(c))
+        types.append(kinds[c.lower()].simpleString())
+    key = F.struct(*(f.alias(f"k{i}") for i, f in enumerate(fields)))
+    if parts < 2:
+        return F.lit(0), key
+    taken = df.select(key.alias("k")).sample(min(1.0, 100 * parts / max(n, 1)), 1)
+    cut = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("a", F.floor(i * F.size("a") / parts).cast("int")))
+    found = taken.agg(F.sort_array(F.collect_list("k")).alias("a")).select(F.explode(F.array_distinct(cut)).alias("c")).where("c is not null").select(*(F.col(f"c.k{i}").cast("string") for i in range(len(fields)))).collect()
+    if not found:
+        return F.lit(0), key
+    table = F.sort_array(F.array(*(F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, types)))) for row in found)))
+    steps = [1 << b for b in reversed(range(len(found).bit_length()))]
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, s: F.when((p + s <= len(found)) & (F.get(table, p + s - 1) <= key), p + s).otherwise(p))
+    return (F.lit(len(found)) - at if down else at), key
+
+
 def runtime_stats(df: DataFrame, key: str, name: str = "stats") -> tuple[DataFrame, Observation]:
     """df with a tap: after an action the observation holds rows, nulls, least and greatest key."""
     tap = Observation(name)
