@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.partitioning import bucket_of, cuts
+
 SWAPPED = {"right_semi": "left_semi", "right_anti": "left_anti"}
 HINTS = {"hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast"}
 
@@ -53,6 +57,34 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
+def group_percentiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, tuple[float, Column]], parts: int) -> DataFrame:
+    """For each group its interpolated percentiles of value, name: (share, weight), as percentile() gives them; keys become _g0, _g1 ...
+
+    Spark's percentile holds all values of a group in one task.  Here equal values are folded, ranges of values are
+    counted, and the two values about each place are found by running counts in their range.
+    """
+    groups = [f"_g{i}" for i in range(len(keys))]
+    base = df.select(*(F.col(k).alias(g) for k, g in zip(keys, groups)), value.cast("double").alias("_x"), *(w.cast("long").alias(f"_w_{n}") for n, (_, w) in wanted.items())).where("_x is not null")
+    at = cuts(base, "_x", parts)
+    cells = base.groupBy(*groups, "_x").agg(*(F.sum(F.when(F.col(f"_w_{n}") < 0, F.raise_error(F.lit("a negative weight"))).otherwise(F.col(f"_w_{n}"))).alias(f"_c_{n}") for n in wanted))
+    cells = cells.fillna(0, [f"_c_{n}" for n in wanted]).withColumn("_part", bucket_of(F.col("_x"), at))
+    of_group = Window.partitionBy(*groups)
+    before = of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy(*groups, "_part").agg(*(F.sum(f"_c_{n}").alias(f"_s_{n}") for n in wanted))
+    sums = sums.select(*(F.col(c).alias(f"{c}_") for c in [*groups, "_part"]), *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in wanted), *(F.sum(f"_s_{n}").over(of_group).alias(f"_n_{n}") for n in wanted))
+    same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*groups, "_part"]))
+    running = Window.partitionBy(*groups, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.join(sums, same).select(*groups, "_x", *(F.col(f"{v}_{n}") for v in ("_c", "_n") for n in wanted), *((F.col(f"_b_{n}") + F.sum(f"_c_{n}").over(running)).alias(f"_r_{n}") for n in wanted))
+    found, out = [], []
+    for n, (share, _) in wanted.items():
+        place = (F.col(f"_n_{n}") - 1) * F.lit(float(share))
+        here = lambda p: (F.col(f"_r_{n}") - F.col(f"_c_{n}") <= p) & (p < F.col(f"_r_{n}"))  # noqa: B023, E731
+        found += [F.max(F.when(here(f(place)), F.col("_x"))).alias(f"{e}_{n}") for e, f in (("_lo", F.floor), ("_hi", F.ceil))] + [F.max(place).alias(f"_at_{n}")]
+        low, high, spot = F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_at_{n}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(spot) - spot) * low + (spot - F.floor(spot)) * high).alias(n))
+    return ranked.groupBy(*groups).agg(*found).select(*groups, *out)
+
+
 def unnest(df: DataFrame, columns: list[str], preserve_nulls: bool = True, depth: int = 1) -> DataFrame:
     """Lists side by side (shorter ones padded with null), depth levels deep; structs become their fields."""
     kinds = dict(df.dtypes)
